@@ -12,7 +12,7 @@ WORD = r"[\p{L}\p{N}_]+"
 ALNUM = r"[\p{L}\p{N}]+"
 _PUNCT = r"[!-/:-@\[-`{-~«»]"
 #: White space after a full stop or question mark, unless an abbreviation, an initial or a "Mr."-like title stands before it.
-SENTENCE_BREAK = r"(?<!\p{L}\.\p{L}.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
+SENTENCE_BREAK = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -69,8 +69,8 @@ def subsegments(segment: Column) -> Column:
     return F.when(F.instr(segment, ":") > 0, F.split(segment, ":", -1)).otherwise(F.array().cast("array<string>"))
 
 
-_DIGITS = "^[0-9]+$"
-_DIGITS_INSIDE = "^[^0-9]+[0-9]+[^0-9]+$"
+_DIGITS = r"^[0-9]+\z"
+_DIGITS_INSIDE = r"^[^0-9]+[0-9]+[^0-9]+\z"
 
 
 def features(url: Column, extended: bool = True) -> Column:
@@ -82,7 +82,7 @@ def features(url: Column, extended: bool = True) -> Column:
         inside = plain.rlike(_DIGITS_INSIDE)
         out = [
             F.concat(tag("segment_name"), s),
-            F.when(plain.rlike(_DIGITS), F.concat(tag("segment_[0-9]"), F.lit("1"))),
+            F.when(s.rlike(_DIGITS), F.concat(tag("segment_[0-9]"), F.lit("1"))),
             F.when(inside, F.concat(tag("segment_substr[0-9]"), F.lit("1"))),
             F.when(ext != "", F.concat(tag("segment_ext"), ext)),
             F.when((ext != "") & inside, F.concat(tag("segment_ext_substr[0-9]"), ext)),
@@ -90,8 +90,8 @@ def features(url: Column, extended: bool = True) -> Column:
         ]
         if not extended:
             return F.array_compact(F.array(*out))
-        subs = subsegments(s)
-        out += [F.when(F.size(subs) > 0, F.concat(tag("subsegmenst"), F.size(subs).cast("string"))), F.when(has_escapes(s), F.concat(tag("segment_lang"), F.lit("rus")))]
+        subs = subsegments(plain)
+        out += [F.concat(tag("subsegmenst"), F.size(subs).cast("string")), F.when(has_escapes(s), F.concat(tag("segment_lang"), F.lit("rus")))]
         return F.concat(F.array_compact(F.array(*out)), F.transform(subs, lambda x: F.concat(tag("subsegment_name"), x)))
 
     prefix = lambda name: lambda x: F.concat(F.lit(name + ":"), x)
@@ -105,7 +105,7 @@ def features(url: Column, extended: bool = True) -> Column:
 def feature_rows(pages: DataFrame, lower: bool = True, extended: bool = True) -> DataFrame:
     """(url, feature), one row for each occurrence."""
     url = F.lower("url") if lower else F.col("url")
-    return pages.where("url is not null").select(F.trim(url).alias("url")).select("url", F.explode(features(F.col("url"), extended)).alias("feature"))
+    return pages.where("url is not null").select(url.alias("url")).select("url", F.explode(features(F.col("url"), extended)).alias("feature"))
 
 
 def feature_counts(*tables: DataFrame, lower: bool = True, extended: bool = True) -> DataFrame:

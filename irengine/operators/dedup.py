@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from irengine.functions.text import let, normalise, words
 
-#: One prime modulus for each of the 20 min-hash slots.
-MODULI = (2003, 2081, 2161, 2237, 2309, 2383, 2459, 2543, 2617, 2689, 2767, 2843, 2917, 3001, 3079, 3163, 3251, 3329, 3407, 3491)
+# The moduli of the 20 min-hash slots, in slot order.
+MODULI = (1663, 1999, 2203, 2381, 2411, 2657, 2789, 2843, 2861, 2909, 2953, 3169, 3217, 3259, 3491, 3467, 3469, 3499, 3511, 27644437)
 WIDTH = 5
 SAME = 16  # equal slots of 20 that make a pair similar, i.e. more than 75 %
 
@@ -53,7 +54,7 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _murmur(batch: pd.Series) -> pd.Series:
     return batch.map(lambda v: None if v is None else [murmur3_32(x.encode()) for x in v])
 
@@ -68,13 +69,14 @@ def signatures(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
 
     All slots come from one fold over the hashes, so a document is never exploded.
     """
-    hashed = docs.select("doc_id", shingle_hashes(F.col("text"), hash_fn).alias("hs")).where(F.size("hs") > 0)
+    hashed = docs.select("doc_id", shingle_hashes(F.col("text"), hash_fn).alias("hs"))
 
     def slot(p: int) -> Column:
         best = F.array_min(F.transform("hs", lambda h, i: F.struct(F.pmod(h, F.lit(p)).alias("r"), i.alias("i"), h.alias("h"))))
         return best["h"]
 
-    return hashed.select("doc_id", F.array(*[slot(p) for p in MODULI]).alias("sig"))
+    # checked on the signature, not on the hashes: a filter may not move below the Python hash function
+    return hashed.select("doc_id", F.array(*[slot(p) for p in MODULI]).alias("sig")).where(F.col("sig")[0].isNotNull())
 
 
 def classes(sigs: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def similar_classes(found: DataFrame, same: int = SAME) -> DataFrame:
     rows = found.select("class_id", "sig", F.explode(keys).alias("key"))
     left, right = (rows.select("key", F.col("class_id").alias(f"id{i}"), F.col("sig").alias(f"s{i}")) for i in (1, 2))
     equal = F.aggregate(F.zip_with("s1", "s2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    return left.join(right, "key").where("id1 < id2").select("id1", "id2", equal.alias("n_same")).where(F.col("n_same") >= same).distinct()
+    return left.join(right, "key").where("id1 < id2").select("id1", "id2", equal.cast("long").alias("n_same")).where(F.col("n_same") >= same).distinct()
 
 
 def near_duplicate_pairs(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +24,8 @@ def tf(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
 def idf(docs: DataFrame) -> DataFrame:
     """(term, idf): ln(N / df), documents being whatever the rows are."""
     df = docs.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(docs.agg(F.count("*").alias("n"))), how="cross").select("term", F.ln(F.col("n") / F.col("df")).alias("idf"))
+    n = docs.agg(F.count("*")).scalar()
+    return df.select("term", F.ln(n / F.col("df")).alias("idf"))
 
 
 def tfidf_top(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -29,58 +35,127 @@ def tfidf_top(docs: DataFrame, k: int = 3) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "tfidf")
 
 
+# ---------------------------------------------------------------- sentences of one document
 def sentence_rows(docs: DataFrame, split=tx.sentences) -> DataFrame:
     """(doc_id, sent, sentence) with 0-based positions; blank sentences stay out."""
     rows = docs.select("doc_id", F.posexplode(split(F.col("text"))).alias("sent", "sentence"))
     return rows.where(F.trim("sentence") != "")
 
 
-def sentence_weights(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent, term, w): tf in the sentence times idf over the document's sentences."""
-    tokens = sents.select("doc_id", "sent", tx.words(F.col("sentence")).alias("ws")).where(F.size("ws") > 0)
-    rows = tokens.select("doc_id", "sent", F.size("ws").alias("n"), F.explode("ws").alias("term")).groupBy("doc_id", "sent", "term").agg((F.count("*") / F.first("n")).alias("tf"))
-    df = rows.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    total = tokens.groupBy("doc_id").agg(F.count("*").alias("n_sents"))
-    return rows.join(df, ["doc_id", "term"]).join(total, "doc_id").select("doc_id", "sent", "term", (F.col("tf") * F.ln(F.col("n_sents") / F.col("df"))).alias("w"))
-
-
-def cosine_pairs(weights: DataFrame) -> DataFrame:
-    """(doc_id, i, j, sim), i < j: sentences of one document with a common weighted term.
+class SentenceGraph:
+    """TF-IDF vectors of a document's sentences and the links between similar ones.
 
-    Terms of weight zero (in every sentence of a document) can't add to a product, so they stay out of the join.
+    IDF is taken over the document's own sentences with words. Sentences with equal words
+    are one node with a multiplicity, so repeated lines don't make the graph quadratic.
     """
-    live = weights.where("w <> 0")
-    norm = live.groupBy("doc_id", "sent").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = live.join(norm, ["doc_id", "sent"]).select("doc_id", "sent", "term", (F.col("w") / F.col("norm")).alias("u"))
-    a = unit.select("doc_id", "term", F.col("sent").alias("i"), F.col("u").alias("u1"))
-    b = unit.select("doc_id", "term", F.col("sent").alias("j"), F.col("u").alias("u2"))
-    return a.join(b, ["doc_id", "term"]).where("i < j").groupBy("doc_id", "i", "j").agg(F.sum(F.col("u1") * F.col("u2")).alias("sim"))
-
-
-def lexrank(docs: DataFrame, threshold: float = 0.3, rounds: int = 3, split=tx.sentences) -> DataFrame:
-    """(doc_id, sent, score): damping-free random walk over sentences of similarity above the threshold.
 
-    Every sentence links to itself; a fixed number of steps p <- p M, M row-normalised. The
-    edge table is reused by each step; an isolated sentence keeps its share.
+    BLOCK = 256
+
+    def __init__(self, sentences: list[list[str]], threshold: float) -> None:
+        number: dict[tuple[str, ...], int] = {}
+        self.node = [number.setdefault(tuple(s), len(number)) for s in sentences]
+        self.times = np.bincount(self.node, minlength=len(number)) if number else np.zeros(0, np.int64)
+        n_live = sum(int(t) for s, t in zip(number, self.times, strict=True) if s)
+        df: Counter = Counter()
+        for s, k in number.items():
+            for t in set(s):
+                df[t] += int(self.times[k])
+        weights: list[dict[str, float]] = []
+        for s in number:
+            w = {t: c / len(s) * math.log(n_live / df[t]) for t, c in Counter(s).items() if df[t] < n_live}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            weights.append({t: x / norm for t, x in w.items()} if norm else {})
+        places: dict[str, tuple[list[int], list[float]]] = {}
+        for k, w in enumerate(weights):
+            for t, x in w.items():
+                at = places.setdefault(t, ([], []))
+                at[0].append(k)
+                at[1].append(x)
+        arrays = {t: (np.array(k), np.array(x)) for t, (k, x) in places.items()}
+        m = len(weights)
+        self.links: list[np.ndarray] = []
+        self.best = np.zeros(m)
+        for lo in range(0, m, self.BLOCK):
+            sims = np.zeros((min(self.BLOCK, m - lo), m))
+            for r, w in enumerate(weights[lo : lo + self.BLOCK]):
+                for t, x in w.items():
+                    k, y = arrays[t]
+                    sims[r, k] += x * y
+            for r in range(len(sims)):
+                row, own = sims[r], lo + r
+                twin = self.times[own] > 1 and bool(weights[own])
+                row[own] = 1.0 if twin else 0.0
+                self.best[own] = row.max()
+                linked = row > threshold
+                linked[own] = twin
+                self.links.append(np.flatnonzero(linked))
+
+    def degrees(self) -> np.ndarray:
+        """Number of other sentences that each node is linked with."""
+        return np.array([int(self.times[x].sum()) - int(k in x) for k, x in enumerate(self.links)], dtype=np.int64)
+
+    def walk(self, rounds: int, eps: float) -> np.ndarray:
+        """Score of each node's sentences after ``rounds`` steps p <- p M, or fewer once the change (L2) is under eps."""
+        if not len(self.times):
+            return np.zeros(0)
+        total = int(self.times.sum())
+        degree = self.degrees() + 1
+        p = np.full(len(self.times), 1 / total)
+        for _ in range(rounds):
+            flow = p / degree
+            mass = flow * self.times
+            # own share, and for twins the shares of the others with equal words
+            new = np.array([mass[x].sum() - (flow[k] if k in x else 0.0) + flow[k] for k, x in enumerate(self.links)])
+            change = math.sqrt(float((self.times * (new - p) ** 2).sum()))
+            p = new
+            if change < eps:
+                break
+        return p
+
+
+def _tokens(docs: DataFrame, split) -> DataFrame:
+    """(doc_id, tokens): words of every sentence, from the JVM; blank sentences are null."""
+    return docs.where("text is not null").select("doc_id", F.transform(split(F.col("text")), lambda s: F.when(F.trim(s) != "", tx.words(s))).alias("tokens"))
+
+
+def _by_document(docs: DataFrame, split, columns: str, rows) -> DataFrame:
+    """One pass over documents; ``rows`` maps (positions, sentences) to columns. Documents are never shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, tokens in zip(batch.column("doc_id"), batch.column("tokens"), strict=True):
+                sentences = tokens.as_py()
+                at = [i for i, s in enumerate(sentences) if s is not None]
+                values = rows([sentences[i] for i in at])
+                if at:
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc.as_py()] * len(at), pa.int64()), "sent": pa.array(at, pa.int32()), **values})
+
+    return _tokens(docs, split).mapInArrow(run, f"doc_id long, sent int, {columns}")
+
+
+def sentence_similarity(docs: DataFrame, threshold: float = 0.3, split=tx.sentences) -> DataFrame:
+    """(doc_id, sent, n_similar, max_sim): sentences of the same document with a cosine above the threshold, and the best cosine."""
+
+    def rows(sentences):
+        g = SentenceGraph(sentences, threshold)
+        degree = g.degrees()
+        return {"n_similar": pa.array([int(degree[k]) for k in g.node], pa.int64()), "max_sim": pa.array([float(g.best[k]) for k in g.node])}
+
+    return _by_document(docs, split, "n_similar long, max_sim double", rows)
+
+
+def lexrank(docs: DataFrame, threshold: float = 0.3, rounds: int = 50, eps: float = 1e-3, split=tx.sentences) -> DataFrame:
+    """(doc_id, sent, score): random walk over the sentences of a document, linked where the cosine exceeds the threshold.
+
+    Every sentence links to itself, rows of the matrix add up to 1. With eps = 0 exactly ``rounds`` steps are made.
     """
-    sents = sentence_rows(docs, split)
-    return lexrank_edges(sents.select("doc_id", "sent"), cosine_pairs(sentence_weights(sents)).where(F.col("sim") > threshold).select("doc_id", "i", "j"), rounds)
 
+    def rows(sentences):
+        g = SentenceGraph(sentences, threshold)
+        p = g.walk(rounds, eps)
+        return {"score": pa.array([float(p[k]) for k in g.node])}
 
-def lexrank_edges(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    both = edges.union(edges.select("doc_id", F.col("j"), F.col("i"))).union(nodes.select("doc_id", F.col("sent"), F.col("sent")))
-    linked = both.withColumn("deg", F.count("*").over(Window.partitionBy("doc_id", "i")))
-    p = nodes.select("doc_id", F.col("sent").alias("i"), (1 / F.count("*").over(Window.partitionBy("doc_id"))).alias("p"))
-    for _ in range(rounds):
-        p = linked.join(p, ["doc_id", "i"]).groupBy("doc_id", F.col("j").alias("k")).agg(F.sum(F.col("p") / F.col("deg")).alias("p")).withColumnRenamed("k", "i")
-    return p.select("doc_id", F.col("i").alias("sent"), F.col("p").alias("score"))
-
-
-def lexrank_limit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The walk's limit in closed form: |C| / N * degree / total degree in each connected document graph (one component assumed)."""
-    both = edges.union(edges.select("doc_id", F.col("j"), F.col("i"))).union(nodes.select("doc_id", F.col("sent"), F.col("sent")))
-    deg = both.groupBy("doc_id", "i").agg(F.count("*").alias("deg"))
-    return deg.select("doc_id", F.col("i").alias("sent"), (F.col("deg") / F.sum("deg").over(Window.partitionBy("doc_id"))).alias("score"))
+    return _by_document(docs, split, "score double", rows)
 
 
 def top_sentences(scores: DataFrame, k: int = 3) -> DataFrame:
@@ -88,3 +163,9 @@ def top_sentences(scores: DataFrame, k: int = 3) -> DataFrame:
     rounded = scores.select("doc_id", "sent", F.round("score", 9).alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sent")
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "sent", "score")
+
+
+def summaries(docs: DataFrame, k: int = 3, threshold: float = 0.3, eps: float = 1e-3, split=tx.sentences) -> DataFrame:
+    """(doc_id, rank, sent, sentence): the k best sentences of each document, best first."""
+    top = top_sentences(lexrank(docs, threshold, eps=eps, split=split), k)
+    return top.join(sentence_rows(docs, split), ["doc_id", "sent"]).select("doc_id", "rank", "sent", "sentence")
