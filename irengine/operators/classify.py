@@ -127,13 +127,16 @@ def word_count_rule(docs: DataFrame, words: Column | None = None) -> DataFrame:
 # ---------------------------------------------------------------- n-gram models
 def char_grams(text: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` characters of the lower-cased text, white space squeezed."""
-    chars = F.split(F.regexp_replace(F.lower(text), r"\s+", " "), "", -1)
+    squeezed = F.regexp_replace(F.lower(text), r"\s+", " ")
+    chars = F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, "", -1))
+
+    def of(c: Column, n: int) -> Column:
+        # element by element: slice() would copy the whole array for every gram
+        cut = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+        return F.when(F.size(c) >= n, cut).otherwise(F.array().cast("array<string>"))
 
     def grams(c: Column) -> Column:
-        rows = [c]
-        for n in range(2, most + 1):
-            rows.append(F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i, n=n: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>")))
-        return F.concat(*rows)
+        return F.concat(c, *[of(c, n) for n in range(2, most + 1)])
 
     return tx.let(chars, grams)
 

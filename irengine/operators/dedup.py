@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from irengine.functions.text import let, normalise, words
 
@@ -21,7 +20,7 @@ def shingles(text: Column, drop_last: bool = True) -> Column:
 
     def cut(w: Column) -> Column:
         last = F.size(w) - WIDTH - (1 if drop_last else 0)
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, WIDTH), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(WIDTH)]))).otherwise(F.array().cast("array<string>"))
 
     return let(words(normalise(text)), cut)
 
@@ -54,14 +53,18 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _murmur(batch: pd.Series) -> pd.Series:
-    return batch.map(lambda v: None if v is None else [murmur3_32(x.encode()) for x in v])
+def hashed_shingles(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
+    """(doc_id, hs): hashes of a document's shingles in order. ``md5`` stays inside the JVM, ``mmh3`` takes one Arrow pass."""
+    cut = docs.select("doc_id", shingles(F.col("text")).alias("s"))
+    if hash_fn == "md5":
+        return cut.select("doc_id", F.transform("s", md5_hash).alias("hs"))
 
+    def run(batches):
+        for batch in batches:
+            hs = [None if s is None else [murmur3_32(x.encode()) for x in s] for s in batch.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hs, pa.list_(pa.int64()))], ["doc_id", "hs"])
 
-def shingle_hashes(text: Column, hash_fn: str = "md5") -> Column:
-    s = shingles(text)
-    return F.transform(s, md5_hash) if hash_fn == "md5" else _murmur(s)
+    return cut.mapInArrow(run, "doc_id long, hs array<long>")
 
 
 def signatures(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
@@ -69,14 +72,13 @@ def signatures(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
 
     All slots come from one fold over the hashes, so a document is never exploded.
     """
-    hashed = docs.select("doc_id", shingle_hashes(F.col("text"), hash_fn).alias("hs"))
+    hashed = hashed_shingles(docs, hash_fn).where(F.size("hs") > 0)
 
     def slot(p: int) -> Column:
         best = F.array_min(F.transform("hs", lambda h, i: F.struct(F.pmod(h, F.lit(p)).alias("r"), i.alias("i"), h.alias("h"))))
         return best["h"]
 
-    # checked on the signature, not on the hashes: a filter may not move below the Python hash function
-    return hashed.select("doc_id", F.array(*[slot(p) for p in MODULI]).alias("sig")).where(F.col("sig")[0].isNotNull())
+    return hashed.select("doc_id", F.array(*[slot(p) for p in MODULI]).alias("sig"))
 
 
 def classes(sigs: DataFrame) -> DataFrame:

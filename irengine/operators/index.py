@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,21 +20,31 @@ def dictionary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
 
 
-def with_gaps(posts: DataFrame) -> DataFrame:
-    """(term, doc_id, gap): distance from the posting before; the first has its own 1-based document number."""
-    before = F.lag("doc_id", 1, -1).over(Window.partitionBy("term").orderBy("doc_id"))
-    return posts.select("term", "doc_id", (F.col("doc_id") - before).alias("gap"))
-
-
 #: Documents that one posting block spans, so that a very common term is split over many rows and tasks.
 BLOCK_DOCS = 1 << 16
 
 
+def _block(block_docs: int) -> Column:
+    return F.floor(F.col("doc_id") / block_docs).cast("long")
+
+
+def with_gaps(posts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, doc_id, gap): distance from the posting before; the first has its own 1-based document number.
+
+    Gaps are taken inside blocks of document numbers; only the last number of each block
+    passes through the window over a whole term, so that a very common term is never one task's.
+    """
+    lists = posts.withColumn("block", _block(block_docs)).groupBy("term", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    ends = lists.select("term", "block", F.element_at("ids", -1).alias("end"))
+    before = ends.select("term", "block", F.lag("end", 1, -1).over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    step = F.transform("ids", lambda x, i: F.struct(x.alias("doc_id"), (x - F.when(i == 0, F.col("before")).otherwise(F.get("ids", i - 1))).alias("gap")))
+    return lists.join(before, ["term", "block"]).select("term", F.explode(step).alias("p")).select("term", "p.doc_id", "p.gap")
+
+
 def posting_lists(posts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(term, block, gaps): gap lists by blocks of document numbers; each list starts from its block's first number."""
-    block = F.floor(F.col("doc_id") / block_docs).cast("long")
     inside = F.sort_array(F.collect_list(F.col("doc_id") - F.col("block") * block_docs + 1))
-    lists = posts.withColumn("block", block).groupBy("term", "block").agg(inside.alias("ids"))
+    lists = posts.withColumn("block", _block(block_docs)).groupBy("term", "block").agg(inside.alias("ids"))
     step = F.transform("ids", lambda x, i: F.when(i == 0, x).otherwise(x - F.get("ids", i - 1)))
     return lists.select("term", "block", step.alias("gaps"))
 

@@ -31,6 +31,11 @@ def running_total(df: DataFrame, order: str, values: dict[str, Column], keys: tu
     base = totals.select(*keys, "__piece", *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in values])
     inside = Window.partitionBy(*keys, "__piece").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy(*keys, "__piece", order)
-    out = dealt.join(base, [*keys, "__piece"])
+    # null-safe: rows of a null key have totals, too
+    right = base.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__piece").alias("__right"), *[f"__base_{n}" for n in values])
+    met = F.col("__piece") == F.col("__right")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = dealt.join(right, met)
     added = {n: F.col(f"__base_{n}") + F.sum(v).over(inside) - F.sum(v).over(same) for n, v in values.items()}
     return out.select(*df.columns, *[c.alias(n) for n, c in added.items()])
