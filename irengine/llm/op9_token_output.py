@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from irengine.llm.common import as_ids, materialise, scratch_path
 
 END = 2
-CACHE = 300_000  # pre-tokens that a worker remembers before it starts afresh
+CACHE = 400_000  # pre-tokens in each of the two generations of a worker's cache
 SCHEMA = "doc_id long, row long, n_tokens int, ids array<int>"
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
@@ -39,24 +40,43 @@ WHOLE = re.compile("[^\t\n\r -~¡-ɏ‐-‧‰-›€]|<\\|")
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers; misses go to the library."""
+    """Pre-token -> its ids as little-endian 32-bit integers; misses go to the library.
+
+    A Python worker keeps its encoder for all tasks that it runs. The cache has two
+    generations of at most CACHE entries: once the young one is full it becomes the
+    old one, and what is met again moves back, so that frequent pre-tokens stay.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
     def whole(self, text: str) -> bytes:
-        ids = self.model.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, token: str) -> bytes:
+        x = self.old.get(token)
+        if x is None:
+            x = self.whole(token)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        x = self[token] = self.whole(token)
+        self[token] = x
         return x
 
     def text(self, text: str) -> bytes:
@@ -69,14 +89,14 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end: int = END) ->
     """Write each document's ids with the end id, in ascending doc_id order, as ORC files under ``path``."""
 
     def encode(batches):
-        encoder = Encoder(model_path)
+        encoder = Encoder.of(model_path)
         tail = struct.pack("<I", end)
         row = 0
         for batch in batches:
             step = 200
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                data = [encoder.text(x.as_py() or "") + tail for x in part.column("text")]
+                data = [encoder.text(x or "") + tail for x in part.column("text").to_pylist()]
                 sizes = np.array([len(x) // 4 for x in data], np.int32)
                 values = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
