@@ -95,9 +95,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text overlaps no item."""
-    found = overlaps(as_ids(docs), benchmark).select(F.col("digest").alias("__digest")).distinct()
+    found = overlaps(as_ids(docs), benchmark).select("digest").distinct()
     few = found.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if few else found, F.md5(F.col("text").cast("string").cast("binary")) == F.col("__digest"), "left_anti")
+    # both sides named through their frames, so that columns of docs may have any names
+    return docs.join(F.broadcast(found) if few else found, F.md5(docs["text"].cast("string").cast("binary")) == found["digest"], "left_anti")
 
 
 ORACLE_SQL = f"""
