@@ -9,13 +9,17 @@
 3. A band bucket links each member to its smallest member (never all pairs);
    the components of these links are candidate groups: every pair that shares
    a band lies in one group.
-4. A group's members are dealt into blocks of at most BLOCK rows by a hash, and
-   each pair of blocks is one task row set. In it, signatures give collision-
-   corrected similarities by counting equal packed bytes; pairs that could
-   reach the threshold (4.5 standard errors of slack) and are not yet connected
-   are confirmed on the full sets. Only a spanning forest of the confirmed links
-   leaves the task.
-5. The components of the forests are the result; classes carry them to copies.
+4. A group's members are dealt into blocks of about BLOCK rows by a hash; a few
+   members, the leaders, are guests in every block of their group. In a block,
+   signatures give collision-corrected similarities by counting equal packed bytes; pairs
+   that could reach the threshold (4.5 standard errors of slack) and are not yet
+   connected are confirmed on the full sets. Only a spanning forest of the confirmed
+   links leaves the task. A group of one block is settled.
+5. In groups of several blocks, the members of a band bucket that are still in different
+   components are compared across blocks: those outside of the bucket's largest
+   component with each other and with it, never the largest component with itself. A
+   large group of near copies is one component by then, so its cost stays linear.
+6. The components of all forests are the result; classes carry them to copies.
 
 Null or empty text, or text without words: an empty set, linked with nothing
 (component_id is its own doc_id, also for a second row with the same doc_id).
@@ -38,7 +42,8 @@ from irengine.llm.components import connected_components
 BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
 BITS = 8
-BLOCK = 1_500  # members of a candidate group in one block
+BLOCK = 512  # members of a candidate group in one block
+LEADERS = 8  # members of a group that every block of it sees
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -114,10 +119,10 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the confirmed links between rows of different sides (or of one side, if there is but one)."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, known: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the confirmed links between rows that ``known`` does not connect yet, of different sides if there are several."""
     n = len(ids)
-    root = np.arange(n)
+    _, root = np.unique(known, return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     t = percent / 100
     least = t - 4.5 * np.sqrt(t * (1 - t) / HASHES) / (1 - 1 / (1 << BITS))
@@ -141,6 +146,65 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.n
     return out
 
 
+def confirmed(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b): forests of the confirmed links within each group of rows (keys, doc_id, signature, text, known, side).
+
+    Sets are made anew from the texts, in the task that compares them.
+    """
+
+    def compare(_, table):
+        table = table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
+        raw, off = byte_view(table.column("text"))
+        sets = []
+        for lo, hi in chunks(off):
+            with np.errstate(over="ignore"):
+                sets += shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        ids, known = table.column("doc_id").to_numpy(), table.column("known").to_numpy()
+        if len(np.unique(ids)) == len(ids):
+            sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        else:  # rows that share an id: each text needs a signature of its own
+            with np.errstate(over="ignore"):
+                sigs = np.stack([minima(s).astype(np.uint8) for s in sets])
+        found = forest(ids, sets, sigs, known, table.column("side").to_numpy(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.select(*keys, "doc_id", "signature", "text", "known", "side").groupBy(*keys).applyInArrow(compare, "a long, b long")
+
+
+def _in_blocks(groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Step 4: (links, nodes of groups with several blocks) from (node, component)."""
+    leaders = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(LEADERS)]
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.array(*leaders).alias("leaders")).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    dealt = groups.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    x = F.when(F.array_contains("leaders", F.col("node")), every).otherwise(F.array("mine"))
+    dealt = dealt.join(reps.select(F.col("rep").alias("node"), "signature"), "node")
+    dealt = materialise(dealt.select("node", "component", "k", x.alias("x"), "signature"), "minhash-dealt")
+    rows = texts.join(dealt.withColumnRenamed("node", "doc_id"), "doc_id").select("component", F.explode("x").alias("x"), "doc_id", "signature", "text", F.col("doc_id").alias("known"), F.lit(0).alias("side"))
+    return materialise(confirmed(rows, ["component", "x"], percent), "minhash-links"), dealt.where("k > 1").select("node").distinct()
+
+
+def _across_blocks(links: DataFrame, large: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Step 5: links between members of a band bucket that ``links`` leaves in different components."""
+    known = connected_components(links).withColumnRenamed("component", "known")
+    members = materialise(large.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known")), "minhash-known")
+    own = reps.select(F.col("rep").alias("node"), "bands", "signature")
+    rows = members.join(own.drop("signature"), "node").select("node", "known", F.explode("bands").alias("band"))
+    parts = rows.groupBy("band", "known").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("band").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    few, many = F.ceil((F.col("n") - F.col("main.n")) / block).cast("int"), F.ceil(F.col("main.n") / block).cast("int")
+    buckets = buckets.select("band", F.col("main.known").alias("main"), few.alias("few"), many.alias("many"))
+    met = rows.join(buckets, "band").withColumn("inside", F.col("known") == F.col("main"))
+    # blocks 0 .. few - 1 hold the members outside of the largest component, the next ones those inside
+    number = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few"))).cast("int") + F.when(F.col("inside"), F.col("few")).otherwise(0)
+    met = met.withColumn("side", number).join(own.drop("bands"), "node")
+    last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda y: F.struct(F.least("side", y).alias("x"), F.greatest("side", y).alias("y")))
+    met = materialise(met.select(F.col("node").alias("doc_id"), "band", "known", "side", "signature", pairs.alias("pairs")), "minhash-open")
+    work = texts.join(met, "doc_id").select("band", F.explode("pairs").alias("p"), "doc_id", "signature", "text", "known", "side").select("band", "p.x", "p.y", "doc_id", "signature", "text", "known", "side")
+    return materialise(confirmed(work, ["band", "x", "y"], percent), "minhash-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) of every row."""
     spark = docs.sparkSession
@@ -154,36 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     links = rows.join(low, "band").where("rep <> a").select("a", F.col("rep").alias("b"))
     groups = materialise(connected_components(links), "minhash-groups")  # node, component
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = groups.join(sizes, "component").withColumn("k", F.ceil(F.col("n") / block).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # a block meets itself and every other one: (low, high) block numbers
-    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))
-    members = dealt.join(reps.select(F.col("rep").alias("node"), "signature"), "node").select("node", "component", "k", "mine", pair.alias("pairs"), "signature")
-    # the set of a representative is made anew from its text, in the task that compares it
-    texts = docs.join(members.select(F.col("node").alias("doc_id"), "component", "k", "mine", "pairs", "signature"), "doc_id").where("text is not null")
-    work = texts.select("component", "k", "mine", F.explode("pairs").alias("p"), "doc_id", "signature", "text").select("component", "k", "mine", "p.x", "p.y", "doc_id", "signature", "text")
-
-    def compare(key, table):
-        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        raw, off = byte_view(table.column("text"))
-        sets = []
-        for lo, hi in chunks(off):
-            with np.errstate(over="ignore"):
-                sets += shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        ids = table.column("doc_id").to_numpy()
-        if len(np.unique(ids)) == len(ids):
-            sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        else:  # rows that share an id: each text needs a signature of its own
-            with np.errstate(over="ignore"):
-                sigs = np.stack([minima(s).astype(np.uint8) for s in sets])
-        found = forest(ids, sets, sigs, table.column("mine").to_numpy(), percent)
-        k = table.column("k")[0].as_py()
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64()), "alone": pa.array([k == 1] * len(found), pa.bool_())})
-
-    found = materialise(work.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long, alone boolean"), "minhash-links")
-    comp = connected_components(found.select("a", "b"))
+    texts = docs.where("text is not null")
+    found, large = _in_blocks(groups, reps, texts, percent, block)
+    if not large.isEmpty():
+        found = found.union(_across_blocks(found, large, reps, texts, percent, block))
+    comp = connected_components(found)
     classes = reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component_id"))
     # classes that say no more than "this document alone" are left out of the last join
     several = sk.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("n")).where("n > 1").select("set_key", F.lit(True).alias("copied"))
