@@ -75,8 +75,9 @@ def signatures(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
     hashed = hashed_shingles(docs, hash_fn).where(F.size("hs") > 0)
 
     def slot(p: int) -> Column:
-        best = F.array_min(F.transform("hs", lambda h, i: F.struct(F.pmod(h, F.lit(p)).alias("r"), i.alias("i"), h.alias("h"))))
-        return best["h"]
+        # residue and place in one number, so that the least one is the first of the least residue
+        best = F.array_min(F.transform("hs", lambda h, i: F.shiftleft(F.pmod(h, F.lit(p)), 32) + i))
+        return F.get("hs", best.bitwiseAND(0xFFFFFFFF).cast("int"))
 
     return hashed.select("doc_id", F.array(*[slot(p) for p in MODULI]).alias("sig"))
 

@@ -14,6 +14,7 @@ from irengine.functions import text as tx
 from irengine.functions.html import page_texts, zlib_size
 from irengine.operators import classify, dedup, index, rank, sbd, segments
 from irengine.plans import boolean
+from irengine.sources.tables import read_table as table
 from irengine.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,12 +33,8 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
