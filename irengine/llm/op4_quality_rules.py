@@ -140,10 +140,15 @@ def train(sample: list[tuple[str, int]]) -> tuple[np.ndarray, list] | None:
     return w, a.tolist()
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
+    """The field learnt from a bounded sample of the labelled documents."""
+    return train(labelled_texts(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, model: tuple | None = None) -> DataFrame:
     """Statistics and verdict of every document (see SCHEMA)."""
     if model is None and labels is not None:
-        model = train(labelled_texts(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS))
+        model = fit(docs, labels)
 
     def judge(batches):
         for batch in batches:

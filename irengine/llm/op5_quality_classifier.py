@@ -26,6 +26,7 @@ SAMPLE_DOCS = 2_500  # labelled documents of each kind that are learnt from
 SAMPLE_CHARS = 30_000  # longer documents are not learnt from
 BUCKETS_LOG2 = 17
 DIM = 8
+MAX_WEIGHT = 4.0  # of a training document, relative to balanced labels
 SCHEMA = "doc_id long, score double, predicted int"
 
 
@@ -83,7 +84,8 @@ def train(sample: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, see
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    # the rarer label weighs more, within a bound that keeps steps small where it is very rare
+    weight = np.minimum(np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()), MAX_WEIGHT)
     steps, step = epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -122,9 +124,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return as_ids(docs).mapInArrow(run, SCHEMA)
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The model learnt from a bounded sample of the labelled documents."""
+    return train(labelled_texts(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS))
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted); held_out says that a row's label was never learnt from."""
-    model = train(labelled_texts(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS))
+    model = fit(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
