@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from irengine.sources.tables import read_table
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 _STATE: dict = {}
@@ -47,8 +49,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/irengine/{name}-{uuid.uuid4().hex}"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+read = read_table
 
 
 # ---------------------------------------------------------------- byte chunks
@@ -181,6 +182,19 @@ def learnable(col: str = "doc_id", mod: int = 3, held: int = 1) -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod != held, F.lit(False))
 
 
+def pick(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows (key, doc_id) for each value of ``key``: those with the lowest hash of their id.
+
+    Counts per key come first; only rows whose hash lies in the range that holds about
+    2 * most of them reach the window, so that a hot key never gathers its rows in one task.
+    """
+    ids = rows.select(key, "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("u"))
+    counts = ids.groupBy(key).agg((F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * most) / F.count("*"))).alias("below"))
+    w = Window.partitionBy(key).orderBy("u", "doc_id")
+    near = ids.join(counts, key).where(F.col("u") <= F.col("below")).select(key, "doc_id", "u").distinct()
+    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select(key, "doc_id")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """A bounded training sample: at most ``per_class`` whole texts of each label.
 
@@ -189,14 +203,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     2 * per_class * max_chars characters. The chosen ids are at most
     2 * per_class rows, which bounds the broadcast.
     """
-    w = Window.partitionBy("y").orderBy("h", "doc_id")
-    picked = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & learnable())
-        .groupBy("doc_id", "y").agg(F.xxhash64("doc_id").alias("h"))
-        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_class)
-        .select("doc_id", "y")
-    )
+    picked = pick(labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable()), "y", per_class)
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(picked), "doc_id")

@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from irengine.llm.common import as_ids, byte_view, chunks, learnable
+from irengine.llm.common import as_ids, byte_view, chunks, learnable, pick
 
 SAMPLE_DOCS = 600  # texts of each language that are learnt from
 SAMPLE_CHARS = 20_000  # longer texts are not learnt from
@@ -142,8 +141,7 @@ class Trees:
 def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> Trees | None:
     """Trees from at most ``per_lang`` texts of each language; at most MAX_LANGS languages."""
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & learnable("doc_id", 5, 0))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_lang)
+    picked = pick(rows, "lang", per_lang)
     langs = [r.lang for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     if not langs:
         return None
