@@ -140,7 +140,7 @@ def window_codes(low: int = -5, high: int = 2) -> Column:
     return F.when(F.col("pos") + low < 0, F.array_repeat(F.lit(0), high - low)).otherwise(codes)
 
 
-#: Patterns over the text three places before to four after the mark (five and six where given); value at the paragraph's end.
+# Patterns over the text three places before to four after the mark (five and six where given); value at the paragraph's end.
 _RU, _Ru = "[А-ЯЁ|]", "[а-яё|]"
 PATTERNS: dict[str, tuple[str, int, int, int]] = {
     "ellipsis": (r"\.\.\. ", -3, 4, 1),

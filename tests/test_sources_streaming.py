@@ -4,6 +4,7 @@ import gzip
 import pytest
 
 from irengine.sources import documents as d
+from irengine.sources.tables import read_table
 from irengine.streaming import jobs
 
 
@@ -80,3 +81,11 @@ def test_admission_stream(spark, tmp_path):
 
 def test_term_counts(spark):
     assert {(r.term, r.n) for r in jobs.term_counts(spark.createDataFrame([("a a",), ("a b",)], "text string")).collect()} == {("a", 3), ("b", 1)}
+
+
+def test_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many.parquet"))
+    assert read_table(spark, str(tmp_path), "one").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = read_table(spark, str(tmp_path), "many", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and read_table(spark, str(tmp_path), "one").count() == 100
