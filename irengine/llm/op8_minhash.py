@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     docs = as_ids(docs)
     sk = materialise(sketches(docs), "minhash")
     # classes of equal sets; the smallest id stands for each
-    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"))
+    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("n"))
     reps = materialise(reps, "minhash-reps")
     rows = reps.select("rep", F.explode("bands").alias("band"))
     low = rows.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
@@ -223,11 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     if not large.isEmpty():
         found = found.union(_across_blocks(found, large, reps, texts, percent, block))
     comp = connected_components(found)
-    classes = reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.select("set_key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "rep", "n", F.coalesce("component", "rep").alias("component_id"))
     # classes that say no more than "this document alone" are left out of the last join
-    several = sk.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("n")).where("n > 1").select("set_key", F.lit(True).alias("copied"))
-    told = classes.join(several, "set_key", "left").where("copied or component_id <> rep").select("set_key", "rep", "component_id")
-    component = F.coalesce("component_id", "doc_id")
-    return sk.select("doc_id", "n_shingles", "set_key").join(told, "set_key", "left").select(
+    told = classes.where("n > 1 or component_id <> rep").select("set_key", "rep", "component_id")
+    # documents without words meet nothing; a key of their own spreads them over the tasks
+    key = F.coalesce("set_key", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sk.select("doc_id", "n_shingles", key.alias("set_key")).join(told, "set_key", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id")
     )
