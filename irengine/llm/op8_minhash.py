@@ -2,8 +2,9 @@
 
 1. One Arrow pass computes, from the set of distinct 5-word shingles of each
    text: its size, a 128-bit key of the set, the low 8 bits of each of 252 minima
-   packed into one signature, and 36 band keys of 7 minima each. At a
-   similarity of 0.85 a pair shares no band with probability 9e-7.
+   packed into one signature, and band keys of several minima each. The bands follow
+   from the threshold (:func:`banding`): at 0.85 they are 36 of 7 minima, and a pair of that
+   similarity shares none with probability 9e-7; at 0.80 they are 50 of 5, with 2e-9.
 2. Documents with one key have equal sets: they are one class, represented by
    the smallest doc_id. All later steps see representatives only.
 3. A band bucket links each member to its smallest member (never all pairs);
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from irengine.llm.common import LOWER, U64, as_ids, byte_view, chunks, materialise, mix, per_doc, shingles, space_words, span_hashes
 from irengine.llm.components import connected_components
 
-BANDS, ROWS = 36, 7
-HASHES = BANDS * ROWS
+HASHES = 252
+MISS = 1e-6  # a pair at the threshold shares no band with this probability at most
 BITS = 8
 BLOCK = 512  # members of a candidate group in one block
 LEADERS = 8  # members of a group that every block of it sees
@@ -77,18 +78,29 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _band_keys(m: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys of (texts, HASHES) minima."""
-    key = np.zeros((len(m), BANDS), np.uint64)
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands of HASHES minima that keep to MISS for a pair at the threshold."""
+    t = percent / 100
+    for rows in range(HASHES, 0, -1):
+        bands = HASHES // rows
+        if (1 - t**rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"{HASHES} minima are too few for a similarity of {t}")
+
+
+def _band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(texts, bands) keys of (texts, HASHES) minima."""
+    key = np.zeros((len(m), bands), np.uint64)
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
-            key = mix(key + m[:, r::ROWS].astype(U64) + U64(0x9E3779B97F4A7C15))
-        key = mix(key ^ np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+        for r in range(rows):
+            key = mix(key + m[:, r : bands * rows : rows].astype(U64) + U64(0x9E3779B97F4A7C15))
+        key = mix(key ^ np.arange(1, bands + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Step 1; bands and signature are null for an empty set."""
+    shape = banding(percent)
 
     def run(batches):
         for batch in batches:
@@ -100,7 +112,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     m = np.stack([minima(s) for s in sets])
                     k1 = [int(s.sum(dtype=U64)) for s in sets]
                     k2 = [int(mix(s ^ U64(0xABCDEF12345)).sum(dtype=U64)) for s in sets]
-                    b = _band_keys(m)
+                    b = _band_keys(m, *shape)
                 for i, s in enumerate(sets):
                     size.append(len(s))
                     keys.append(k1[i].to_bytes(8, "big") + k2[i].to_bytes(8, "big") + len(s).to_bytes(5, "big") if len(s) else None)
@@ -209,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     """(doc_id, n_shingles, component_id, kept, class_id) of every row."""
     spark = docs.sparkSession
     docs = as_ids(docs)
-    sk = materialise(sketches(docs), "minhash")
+    sk = materialise(sketches(docs, percent), "minhash")
     # classes of equal sets; the smallest id stands for each
     reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("n"))
     reps = materialise(reps, "minhash-reps")

@@ -138,6 +138,19 @@ def test_near_duplicates(spark, copies, block):
     check_near(op8_minhash.near_duplicates(frame(spark, copies, clashing=True), block=block).collect(), copies)
 
 
+@pytest.mark.parametrize("block", [op8_minhash.BLOCK, 4])
+def test_lower_threshold(spark, copies, block):
+    got = op8_minhash.near_duplicates(frame(spark, copies), percent=80, block=block).collect()
+    assert {r.doc_id: r.component_id for r in got} == near_components(copies, 80) != near_components(copies)
+
+
+def test_bands_follow_the_threshold():
+    assert op8_minhash.banding(85) == (36, 7)
+    for percent in range(50, 100):
+        bands, rows = op8_minhash.banding(percent)
+        assert bands * rows <= op8_minhash.HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
 def test_repeated_ids(spark):
     base = " ".join(f"w{i}" for i in range(50))
     rows = [(1, base), (1, base), (2, base), (None, base), (None, None), (3, None), (3, None), (4, "other text of six words here")]

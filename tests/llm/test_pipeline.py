@@ -54,3 +54,18 @@ def test_empty(spark, sf_dir):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "near-dedup", "decontamination", "sentencepiece"]
+
+
+def test_near_dedup_follows_its_threshold(spark, sf_dir, monkeypatch):
+    """Pairs of similarity 0.80 to 0.85 go only if the stage's threshold is 80."""
+    rows = []
+    for b in range(20):
+        w, k = [f"b{b}w{i}" for i in range(204)], 14 + b % 3
+        rows += [(2 * b, " ".join(w)), (2 * b + 1, " ".join([*w[:60], *(f"b{b}n{i}" for i in range(k)), *w[60 + k :]]))]
+    w = [f"c{i}" for i in range(204)]
+    rows += [(100, " ".join(w)), (101, " ".join([*w[:60], *(f"cn{i}" for i in range(22)), *w[82:]]))]  # under 0.8
+    for percent, left in ((85, 42), (80, 22)):
+        monkeypatch.setattr(corpus_pipeline, "NEAR_PERCENT", percent)
+        want = set(near_components(rows, percent).values())
+        assert len(want) == left
+        assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir).collect()} == want
