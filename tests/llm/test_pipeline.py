@@ -1,11 +1,14 @@
 """The pipeline against its stages done by hand: brute force where rules decide, one model call per stage where models do."""
 
+import zlib
+from array import array
+
 import sentencepiece
 
 import corpus_pipeline
 from irengine.llm import op4_quality_rules, op5_quality_classifier, queries
 
-from .helpers import base_statistics, frame, near_components, overlap_pairs
+from .helpers import ODD, base_statistics, frame, near_components, overlap_pairs
 
 
 def by_hand(spark, docs, sf_dir):
@@ -69,3 +72,18 @@ def test_near_dedup_follows_its_threshold(spark, sf_dir, monkeypatch):
         want = set(near_components(rows, percent).values())
         assert len(want) == left
         assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir).collect()} == want
+
+
+def test_encodings_are_the_output(spark, sf_dir):
+    """The last stage returns the library's ids, of odd texts and over slices of a batch too."""
+    rows = [r for r in ODD if r[0] != 6] + [(1000 + i, f"row number {i} of many, with ▁ and 日本") for i in range(1200)]
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    out = corpus_pipeline.sentencepiece(spark, frame(spark, rows, clashing=True), sf_dir)
+    assert out.dtypes[:2] == [("doc_id", "bigint"), ("ids", "array<int>")]
+    got = out.collect()
+    texts = dict(r for r in rows if r[0] is not None)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_pieces == len(r.ids) and r.round_trip and r.ids_crc32 == zlib.crc32(array("I", r.ids).tobytes())
+        if r.doc_id is not None:
+            assert r.ids == library.encode(texts[r.doc_id] or "")
