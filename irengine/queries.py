@@ -494,7 +494,7 @@ def page_features(spark, sf_dir):
 def voting_spam(spark, sf_dir):
     """Soft vote of the word and character n-gram models, learnt from the labelled documents, over all documents."""
     train = labelled(spark, sf_dir, "quality").select("doc_id", "text", F.col("is_class").cast("double").alias("label"))
-    models = classify.fit_voting(train, trees=3, vocabulary=256)
+    models = classify.fit_voting(train)
     return classify.vote(documents(spark, sf_dir), models)
 
 
@@ -623,7 +623,7 @@ def sbd_errors(spark, sf_dir):
 def sbd_model(spark, sf_dir):
     """Boosted trees learnt from the labelled candidates and applied to all of them."""
     rows = sbd.label(_cands(spark, sf_dir), sbd.labels_first(_gold(spark, sf_dir)))
-    model = sbd.fit(rows, trees=5, depth=3)
+    model = sbd.fit(rows)
     return sbd.predict(rows, model).groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 

@@ -274,3 +274,23 @@ def test_model(spark):
     docs = spark.createDataFrame([(i, "One two. Three v. four. Five", ["One two.", "Three v. four.", "Five"]) for i in range(20)], "doc_id long, text string, sentences array<string>")
     judged = sbd.label(sbd.candidates(docs), sbd.labels_first(docs))
     assert sbd.predict(judged, sbd.fit(judged, trees=2, depth=2)).where("predicted <> label").count() == 0
+
+
+def test_registered_models_are_whole(spark, monkeypatch):
+    """The queries fit their models with the operators' own settings."""
+    from irengine import queries
+
+    class Fitted(Exception):
+        pass
+
+    def stop(rows, **options):
+        raise Fitted(options)
+
+    monkeypatch.setattr(classify, "fit_voting", stop)
+    monkeypatch.setattr(sbd, "fit", stop)
+    for table in ("documents", "labelled"):
+        monkeypatch.setattr(queries, table, lambda spark, sf_dir, *a: spark.createDataFrame([(1, "One. Two", True)], "doc_id long, text string, is_class boolean"))
+    for name in ("voting_spam", "sbd_model"):
+        with pytest.raises(Fitted) as e:
+            queries.QUERIES[name](spark, "")
+        assert e.value.args == ({},)
