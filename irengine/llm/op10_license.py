@@ -1,6 +1,7 @@
 """Operator 10, license scans: phrases, and an exact set-similarity join with notice templates.
 
-Native DataFrame operations only. A text block is a line; a template is the set
+Native DataFrame operations only. A text block is a line or, if asked for, also a window
+of consecutive lines of a paragraph (:func:`wrapped_matches`); a template is the set
 of words of a license notice. A line meets a template if it holds at least
 ``percent`` of the template's distinct words. The join is exact: template words
 are ordered by the number of documents that hold them (rarest first). A line
@@ -45,6 +46,7 @@ TEMPLATES = [
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+BLANK = r"\n[\x20\x09\x0B-\x0D]*\n"  # the border of two paragraphs
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,6 +93,11 @@ def phrase_places(w: Column) -> Column:
 
 def line_matches(line: Column, rank: dict[str, int], templates: list[tuple[str, str]], percent: int) -> Column:
     """array<struct<label, share>> of the templates that a lower-cased line meets, one entry per template."""
+    return let(F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))), matcher(rank, templates, percent))
+
+
+def matcher(rank: dict[str, int], templates: list[tuple[str, str]], percent: int):
+    """Function from the distinct words of a block to the templates that it meets, as in :func:`line_matches`."""
 
     def of(words: Column) -> Column:
         out = []
@@ -107,11 +114,37 @@ def line_matches(line: Column, rank: dict[str, int], templates: list[tuple[str,
             out.append(F.when(ok, F.struct(F.lit(label).alias("label"), (both / F.lit(m)).alias("share"))))
         return F.filter(F.array(*out), lambda x: x.isNotNull())
 
-    return let(F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))), of)
+    return of
+
+
+def wrapped_matches(paragraph: Column, rank: dict[str, int], templates: list[tuple[str, str]], percent: int) -> Column:
+    """As :func:`line_matches`, over all windows of consecutive lines of a lower-cased paragraph.
+
+    A notice of k words that is wrapped with a word or more on each line spans k lines at
+    most, and a longer window holds all that a shorter one does: so windows of k lines (or up
+    to the paragraph's end), one from each line, find every match. Lines keep only words
+    of the templates, and a template that the whole paragraph doesn't meet is left out first.
+    """
+    some = F.lit(any_of(sorted({w for _, t in templates for w in t.split()})))
 
+    def of(lines: Column) -> Column:
+        def one(template: tuple[str, str]) -> Column:
+            tokens = template[1].split()
+            of_block = matcher(rank, [template], percent)
+            windows = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: let(F.array_distinct(F.flatten(F.slice(lines, i, len(tokens)))), of_block))
+            able = F.size(F.array_intersect(F.flatten(lines), F.array(*map(F.lit, tokens)))) >= required(len(set(tokens)), percent)
+            return F.when(able, F.flatten(windows)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
-def license_scan(docs: DataFrame, percent: int = PERCENT, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
+        return F.concat(*map(one, templates))
+
+    return let(F.transform(F.split(paragraph, "\n", -1), lambda x: F.regexp_extract_all(x, some, F.lit(0))), of)
+
+
+def license_scan(docs: DataFrame, percent: int = PERCENT, templates: list[tuple[str, str]] | None = None, wrapped: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document.
+
+    With ``wrapped``, blocks that span line breaks count too.
+    """
     templates = TEMPLATES if templates is None else templates
     docs = as_ids(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({w for _, t in templates for w in t.split()})
@@ -124,8 +157,9 @@ def license_scan(docs: DataFrame, percent: int = PERCENT, templates: list[tuple[
     maybe_phrase = "(?i)" + "|".join(rf"(?<!{RAW})" + f"{GAP}+".join(p.split()) + rf"(?!{RAW})" for p in PHRASES)
 
     places = F.when(F.col("text").rlike(maybe_phrase), let(F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0)), phrase_places))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(one_of))
-    matches = F.when(F.col("text").rlike(one_of), F.flatten(F.transform(lines, lambda x: line_matches(lowered(x), rank, templates, percent))))
+    blocks, of = (F.split("text", BLANK, -1), wrapped_matches) if wrapped and templates else (F.split("text", "\n", -1), line_matches)
+    blocks = F.filter(blocks, lambda x: x.rlike(one_of))
+    matches = F.when(F.col("text").rlike(one_of), F.flatten(F.transform(blocks, lambda x: of(lowered(x), rank, templates, percent))))
     found = docs.select("doc_id", F.regexp_count("text", F.lit(f"{RAW}+")).cast("long").alias("n_words"), F.struct(places.alias("p"), matches.alias("m")).alias("f"))
     p, m = F.coalesce("f.p", F.array().cast("array<struct<at:int,label:string>>")), F.coalesce("f.m", F.array().cast("array<struct<label:string,share:double>>"))
     base = F.transform(p, lambda x: x["label"])

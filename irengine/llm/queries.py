@@ -52,8 +52,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op10_license_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_license.license_scan(read(spark, sf_dir, "documents"), wrapped=True)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece_round_trip, "op2_decontamination": op2_benchmark_overlap, "op3_token_counts": op3_token_counts_query, "op4_quality_rules": op4_quality_rules_query, "op5_quality_classifier": op5_quality_classifier_query,
     "op6_toxicity": op6_toxicity_query, "op7_language_id": op7_language_id_query, "op8_minhash": op8_near_duplicates, "op9_token_output": op9_token_output_query, "op10_license_scan": op10_license_scan,
+    "op10_license_wrapped": op10_license_wrapped,
 }
 ORACLE_SQL = {"op2_decontamination": op2_decontamination.ORACLE_SQL, "op10_license_scan": op10_license.oracle_sql()}

@@ -222,6 +222,49 @@ def test_license_scan(spark):
     assert len(op10_license.license_scan(frame(spark, rows), templates=[]).collect()) == len(rows)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+
+
+def brute_wrapped(text):
+    met = set(brute_license(text)[4].split(",")) - {""}
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for paragraph in re.split(r"\n[ \t\r\f\v]*\n", lowered):
+        lines = paragraph.split("\n")
+        for label, template in op10_license.TEMPLATES:
+            t, most = set(template.split()), len(template.split())
+            for i in range(len(lines)):
+                for j in range(i + 1, min(len(lines), i + most) + 1):
+                    if 100 * len(t & set(re.findall(op10_license.WORD, "\n".join(lines[i:j])))) >= op10_license.PERCENT * len(t):
+                        met.add(label)
+    return ",".join(sorted(met))
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(8)
+    rows = [(1, MIT), (2, BSD), (3, MIT.replace("copy\nof", "copy\n\nof")), (4, "Some text.\n\n" + MIT + "\n\n" + BSD), (5, MIT.replace(" ", "\n")), (6, MIT.replace("copy\n", "copy\n" + "other words\n" * 30)), *((100 + i, t) for i, (_, t) in enumerate(ODD))]
+    for k in range(150):
+        w = " ".join(rng.choice(op10_license.TEMPLATES)[1] for _ in range(2)).split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "x"
+        rows.append((1000 + k, "".join(x + rng.choice([" ", " ", ", ", "\n", "\n \n" if rng.random() < 0.2 else " "]) for x in w)))
+    got = {r.doc_id: r.labels for r in op10_license.license_scan(frame(spark, rows, clashing=True), wrapped=True).collect()}
+    assert got == {i: brute_wrapped(t) for i, t in rows}
+    assert [got[i] for i in (1, 2, 3, 4, 5, 6)] == ["mit", "bsd-3", "", "bsd-3,mit", "mit", ""]
+    assert op10_license.license_scan(frame(spark, []), wrapped=True).collect() == []
+    assert len(op10_license.license_scan(frame(spark, rows), templates=[], wrapped=True).collect()) == len(rows)
+
+
+def test_wrapped_query(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = sorted((r.doc_id, r.labels) for r in queries.QUERIES["op10_license_wrapped"](spark, sf_dir).collect())
+    assert got == sorted((r.doc_id, brute_wrapped(r.text)) for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
