@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from irengine.functions.html import page_texts, zlib_size
 from irengine.operators import classify, dedup, index, rank, sbd, segments
 from irengine.plans import boolean
 from irengine.sources.tables import read_table as table
+from irengine.sources.tables import shared_root
 from irengine.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +44,7 @@ def labelled(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFram
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="irengine-")
-    return f"{root.rstrip('/')}/irengine/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/irengine/{name}-{uuid.uuid4().hex}"
 
 
 W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"

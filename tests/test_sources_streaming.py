@@ -4,7 +4,7 @@ import gzip
 import pytest
 
 from irengine.sources import documents as d
-from irengine.sources.tables import read_table
+from irengine.sources.tables import read_table, spread
 from irengine.streaming import jobs
 
 
@@ -89,3 +89,11 @@ def test_spread(spark, tmp_path):
     assert read_table(spark, str(tmp_path), "one").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     plan = read_table(spark, str(tmp_path), "many", "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan and read_table(spark, str(tmp_path), "one").count() == 100
+
+
+def test_tables_beyond_the_bound_are_never_shuffled(spark, tmp_path):
+    """Fewer files than cores, but more bytes than the bound: the scan stays a scan."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    df = spark.read.parquet(str(tmp_path / "one.parquet"))
+    assert "Repartition" in spread(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in spread(df, most=100)._jdf.queryExecution().optimizedPlan().toString()
