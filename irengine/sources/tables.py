@@ -19,7 +19,7 @@ def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     costs next to nothing. Beyond the bound, tables are never shuffled here, however few files or many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
     return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
