@@ -7,7 +7,9 @@ array and work on small byte chunks, so that memory is bounded by the chunk
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -19,39 +21,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from irengine.sources.tables import read_table
+from irengine.sources.tables import read_table, shared_root
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+BROADCAST_KEYS = 100_000  # narrow rows (labels, languages, ids of a sample) that may be broadcast; beyond it joins shuffle
 _STATE: dict = {}
 
 
 # ---------------------------------------------------------------- scratch tables
-def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if "root" not in _STATE:
-        _STATE["root"] = "file://" + tempfile.mkdtemp(prefix="irengine-")
-    return _STATE["root"]
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/irengine/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/irengine/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/irengine/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """:func:`discard` for tables that :func:`materialise` made."""
+    for df in tables:
+        discard(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 read = read_table
 
 
+# ---------------------------------------------------------------- workers
+def lean(run):
+    """An Arrow function that gives its memory back to the system at its end: Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return freed
+
+
 # ---------------------------------------------------------------- byte chunks
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as the empty text."""
@@ -75,6 +99,24 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def code_points(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of the UTF-8 texts of a chunk."""
+    try:
+        codes = np.frombuffer(b.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:  # bytes that are no UTF-8: each text by itself, with marks in their place
+        texts = [b[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, texts)])
+    before = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return codes, before[off]
+
+
+def code_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, offsets) of a string column, chunk by chunk."""
+    raw, off = byte_view(col)
+    for lo, hi in chunks(off, limit):
+        yield lo, hi, *code_points(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -97,6 +139,11 @@ def space_words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return spans(~_SPACE[b], off)
 
 
+def white(codes: np.ndarray) -> np.ndarray:
+    """Which code points are one of ``\\x20\\x09-\\x0D``."""
+    return (codes == 32) | ((codes >= 9) & (codes <= 13))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> U64(31))
@@ -106,35 +153,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_BASE = 0x9E6C63D0876A9A47
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_STATE.get("pow", ((),))[0]) < n:
-        n = max(n, CHUNK_BYTES + 2)
-        out = []
-        for base in (_BASE, _BASE_INV):
-            p = np.ones(n, U64)
-            size = 1
-            step = U64(base)
-            while size < n:
-                m = min(size, n - size)
-                p[size : size + m] = p[:m] * step
-                size += m
-                step = step * step
-            out.append(p)
-        _STATE["pow"] = tuple(out)
-    return _STATE["pow"]
-
-
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one prefix sum over the chunk."""
+    """64-bit hash of each span of bytes or code points; spans are in order and don't overlap.
+
+    Every place adds a scrambled number of its own, made from the symbol and how far it stands
+    from the span's start; no algebra over the symbols makes different spans meet by design.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(b) + 2)
-        pre = np.zeros(len(b) + 1, U64)
-        np.cumsum((b.astype(U64) + U64(1)) * power[: len(b)], out=pre[1:])
-        return mix((pre[ends] - pre[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        total = np.empty(len(starts), U64)
+        lo = 0
+        while lo < len(starts):  # a bounded number of symbols at a time, or one long span
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+            hi = min(hi, len(starts))
+            n = size[lo:hi]
+            first = np.concatenate([[0], np.cumsum(n)])
+            within = np.arange(first[-1]) - np.repeat(first[:-1], n)
+            symbols = b[np.repeat(starts[lo:hi], n) + within].astype(U64)
+            x = mix((symbols + U64(1)) * U64(0x9E6C63D0876A9A47) + within.astype(U64) * U64(0xD1B54A32D192ED03))
+            run = np.zeros(len(x) + 1, U64)
+            np.cumsum(x, out=run[1:])
+            total[lo:hi] = run[first[1:]] - run[first[:-1]]
+            lo = hi
+        return mix(total + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 _LANES = [U64(x | 1) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
@@ -182,34 +225,46 @@ def learnable(col: str = "doc_id", mod: int = 3, held: int = 1) -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod != held, F.lit(False))
 
 
-def pick(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows (key, doc_id) for each value of ``key``: those with the lowest hash of their id.
+def pick(rows: DataFrame, key: str, most: int, budget: int) -> DataFrame:
+    """(key, doc_id, th): for each value of ``key`` the rows of lowest hash, at most ``most`` of them and ``budget`` bytes.
 
-    Counts per key come first; only rows whose hash lies in the range that holds about
-    2 * most of them reach the window, so that a hot key never gathers its rows in one task.
+    ``rows`` are (key, doc_id, th, size), each once. The row that crosses the budget still counts, so
+    every key has one row at least. Counts per key come first; only rows whose hash lies in the range that
+    holds about 2 * most of them reach the window, so that a hot key never gathers its rows in one task.
     """
-    ids = rows.select(key, "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("u"))
-    counts = ids.groupBy(key).agg((F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * most) / F.count("*"))).alias("below"))
-    w = Window.partitionBy(key).orderBy("u", "doc_id")
-    near = ids.join(counts, key).where(F.col("u") <= F.col("below")).select(key, "doc_id", "u").distinct()
-    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select(key, "doc_id")
+    rows = materialise(rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 40))), "candidates")
+    counts = rows.groupBy(key).agg((F.lit(1 << 40) * F.least(F.lit(1.0), F.lit(2.0 * most + 40) / F.count("*"))).alias("below"))
+    few = counts.count() <= BROADCAST_KEYS
+    near = rows.join(F.broadcast(counts) if few else counts, key).where(F.col("u") <= F.col("below"))
+    w = Window.partitionBy(key).orderBy("u", "doc_id", "th")
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = near.withColumn("rn", F.row_number().over(w)).withColumn("before", before)
+    return ranked.where((F.col("rn") <= most) & (F.col("before") < budget)).select(key, "doc_id", "th")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """A bounded training sample: at most ``per_class`` whole texts of each label.
+def sampled(docs: DataFrame, keys: DataFrame, key: str, most: int, budget: int) -> DataFrame:
+    """(key, text): a bounded training sample of whole texts, each (doc_id, text) once.
 
-    Rows are chosen by a hash of their id among the learnable labelled rows;
-    texts over ``max_chars`` are not learnt from, so the driver holds at most
-    2 * per_class * max_chars characters. The chosen ids are at most
-    2 * per_class rows, which bounds the broadcast.
+    ``keys`` are rows (doc_id, key), or None if ``docs`` has the column. Null texts are no candidates; texts of any length are. The
+    sample is bounded by ``most`` rows and ``budget`` bytes for each value of ``key`` (plus the one text that crosses it).
     """
-    picked = pick(labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable()), "y", per_class)
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(picked), "doc_id")
-        .collect()
-    )
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.y))]
+    texts = docs.where("text is not null").withColumn("th", F.xxhash64("text"))
+    size = F.octet_length("text").cast("long").alias("size")
+    if keys is None:
+        rows = texts.select(key, "doc_id", "th", size).distinct()
+    else:
+        rows = texts.select("doc_id", "th", size).join(keys.distinct(), "doc_id").select(key, "doc_id", "th", "size").distinct()
+    picked = materialise(pick(rows, key, most, budget), "picked")
+    on = ["doc_id", "th"] if keys is not None else [key, "doc_id", "th"]
+    # at most ``most`` narrow rows for each value of the key
+    small = F.broadcast(picked) if picked.count() <= BROADCAST_KEYS else picked
+    return texts.join(small, on).groupBy(key, "doc_id", "th").agg(F.first("text").alias("text")).select(key, "doc_id", "th", "text")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, budget: int) -> DataFrame:
+    """(y, doc_id, th, text): the bounded sample of the learnable rows of both values of a label."""
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable())
+    return sampled(as_ids(docs), y, "y", per_class, budget)
 
 
 def as_ids(df: DataFrame) -> DataFrame:

@@ -19,44 +19,44 @@ def _messages(u: np.ndarray, a: np.ndarray, live: np.ndarray):
     return f, b
 
 
-def fit(seqs: list[np.ndarray], tags: list[np.ndarray], n_feats: int, epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, l1: float = 0.0, batch: int = 256, seed: int = 7):
+def fit(seqs: list[np.ndarray], tags: list[np.ndarray], n_feats: int, epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, batch: int = 256, seed: int = 7, chain: bool = True):
     """Weights (n_feats + 1, 2) and transitions (2, 2) by AdaGrad on the log-likelihood.
 
-    A sequence is a (T, K) array of feature numbers; n_feats stands for "none".
+    A sequence is a (T, K) array of feature numbers; n_feats stands for "none". Without ``chain`` the
+    transitions stay 0, so that every place is judged by itself. The gradients of a feature's two weights
+    are opposite numbers, so one of them is kept.
     """
     rng = np.random.default_rng(seed)
-    w, a = np.zeros((n_feats + 1, 2)), np.zeros((2, 2))
+    w, a = np.zeros(n_feats + 1), np.zeros((2, 2))
     gw, ga = np.full_like(w, 1e-6), np.full_like(a, 1e-6)
     order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
     groups = [order[i : i + batch] for i in range(0, len(order), batch)]
     for _ in range(epochs):
         for g in (groups[i] for i in rng.permutation(len(groups))):
             t, k = max(len(seqs[i]) for i in g), seqs[g[0]].shape[1]
-            x, y, live = np.full((len(g), t, k), n_feats), np.zeros((len(g), t), int), np.zeros((len(g), t), bool)
+            if not t:
+                continue
+            x, y, live = np.full((len(g), t, k), n_feats, np.int32), np.zeros((len(g), t), int), np.zeros((len(g), t), bool)
             for r, i in enumerate(g):
                 x[r, : len(seqs[i])], y[r, : len(seqs[i])], live[r, : len(seqs[i])] = seqs[i], tags[i], True
-            u = w[x].sum(2)
-            f, b = _messages(u, a, live)
-            z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-            p = np.exp(f + b - z[:, None, None])
-            d = (np.eye(2)[y] - p) * live[..., None]
-            grad = np.zeros_like(w)
-            np.add.at(grad, x.reshape(-1), np.repeat(d.reshape(-1, 2), k, axis=0))
-            ta = np.zeros_like(a)
-            if t > 1:
-                pair = live[:, 1:]
-                e = f[:, :-1, :, None] + a + (u[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-                ta -= (np.exp(e) * pair[..., None, None]).sum((0, 1))
-                np.add.at(ta, (y[:, :-1][pair], y[:, 1:][pair]), 1)
-            grad, ta = grad / len(g) - l2 * w, ta / len(g) - l2 * a
+            odds = w[x].sum(2)
+            u = np.stack([-odds, odds], 2)
+            f, b = _messages(u, a, live) if chain else (u, 0 * u)
+            z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])[:, None] if chain else np.logaddexp(u[..., 0], u[..., 1])
+            d = (y - np.exp(f[..., 1] + b[..., 1] - z)) * live
+            grad = np.bincount(x.reshape(-1), np.repeat(d.reshape(-1), k), n_feats + 1) / len(g) - l2 * w
             gw += grad**2
-            ga += ta**2
             w += rate * grad / np.sqrt(gw)
-            a += rate * ta / np.sqrt(ga)
-            if l1:
-                w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate, 0)
             w[n_feats] = 0
-    return w, a
+            if t > 1 and chain:
+                pair = live[:, 1:]
+                e = f[:, :-1, :, None] + a + (u[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, :, None, None]
+                ta = -(np.exp(e) * pair[..., None, None]).sum((0, 1))
+                np.add.at(ta, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+                ta = ta / len(g) - l2 * a
+                ga += ta**2
+                a += rate * ta / np.sqrt(ga)
+    return np.stack([-w, w], 1), a
 
 
 def viterbi(u: list[list[float]], a: list[list[float]]) -> list[int]:

@@ -7,11 +7,13 @@ kept if content lines hold at least half of its words.
 The field's weights are trained here, from document labels only: lines of good
 documents are content; lines of bad documents start as boilerplate and are
 relabelled by the trained field once, so that clean lines of bad documents turn
-into content. The sample is bounded by SAMPLE_DOCS per label.
+into content. The sample is bounded by SAMPLE_DOCS whole texts and SAMPLE_BYTES per
+label; executors turn its lines into features, and only these reach the driver.
 
-Null or empty text, and text without a word: all counts 0, base_failed. Ties of
-Viterbi go to content. Repeated rows are judged independently, other columns
-are ignored. Without labelled rows of both kinds the base rules alone decide.
+Null or empty text, and text without a word: all counts 0, base_failed. Very long
+texts are judged, and learnt from, whole. Ties of Viterbi go to content. Repeated rows are
+judged independently (and learnt from once), other columns, whatever their names, are ignored. Without labelled rows
+of both kinds the base rules alone decide. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from irengine.llm import crf
-from irengine.llm.common import as_ids, byte_view, chunks, labelled_texts, per_doc, shingles, space_words, span_hashes, spans
+from irengine.llm.common import as_ids, byte_view, chunks, labelled, per_doc, shingles, space_words, span_hashes, spans
 
 SAMPLE_DOCS = 1_200  # labelled documents of each kind that the field is trained on
-SAMPLE_CHARS = 30_000  # longer documents are not trained on
+SAMPLE_BYTES = 8 << 20  # of their texts, of each kind; the text that crosses the bound still counts
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_boilerplate_lines long"
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -114,25 +116,28 @@ class Chunk:
         return np.cumsum(cover[:-1]) > 0
 
 
-def _sequences(texts: list[str]) -> list[np.ndarray]:
-    raw, off = byte_view(pa.array(texts, pa.string()))
+def line_features(col: pa.Array) -> list[np.ndarray]:
+    """(lines, features) of each text of a column."""
+    raw, off = byte_view(col)
     out = []
     for lo, hi in chunks(off):
         c = Chunk(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        out += [c.feats[c.lines[i] : c.lines[i + 1]] for i in range(hi - lo)]
+        out += [c.feats[c.lines[i] : c.lines[i + 1]].astype(np.uint8) for i in range(hi - lo)]
     return out
 
 
-def train(sample: list[tuple[str, int]]) -> tuple[np.ndarray, list] | None:
-    """Weights and transitions of the field; tag 1 is boilerplate. None if a label lacks."""
+def train(sample: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, list] | None:
+    """Weights and transitions of the field from (line features, label) pairs; tag 1 is boilerplate. None if a label lacks."""
     if len({y for _, y in sample}) < 2:
         return None
     seqs, tags, bad = [], [], []
-    for x, (_, good) in zip(_sequences([t for t, _ in sample]), sample, strict=True):
+    for x, good in sample:
         for i in range(0, len(x), 64):
             seqs.append(x[i : i + 64])
             tags.append(np.full(len(seqs[-1]), 1 - good))
             bad.append(not good)
+    if not seqs:
+        return None
     w, a = crf.fit(seqs, tags, N_FEATS, epochs=8)
     u = [w[x].sum(1).tolist() for x in seqs]
     tags = [np.array(crf.viterbi(v, a.tolist())) if b else t for v, t, b in zip(u, tags, bad, strict=True)]
@@ -142,7 +147,15 @@ def train(sample: list[tuple[str, int]]) -> tuple[np.ndarray, list] | None:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
     """The field learnt from a bounded sample of the labelled documents."""
-    return train(labelled_texts(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS))
+
+    def lines(batches):
+        for batch in batches:
+            feats = [x.tobytes() for x in line_features(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("doc_id"), batch.column("th"), pa.array(feats, pa.binary())], ["y", "doc_id", "th", "feats"])
+
+    table = labelled(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES).mapInArrow(lines, "y int, doc_id long, th long, feats binary").toArrow()
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "th", "y", "feats")), strict=True))
+    return train([(np.frombuffer(f, np.uint8).reshape(-1, len(CUTS)), y) for _, _, y, f in rows])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, model: tuple | None = None) -> DataFrame:

@@ -8,12 +8,15 @@ A text's code length under each frozen tree decides, the shortest wins.
 
 Trees are frozen before scoring, so the cost of every known 4-byte gram under all
 languages is computed once and looked up in a hash table; only bytes whose
-gram no language knows walk down the orders. Learnt from at most SAMPLE_DOCS
-texts per language.
-
-Null text, or text without a letter: ``und`` with score 0. Ties go to the
-language first in alphabetical order. Repeated rows get equal results; other
-columns are ignored. Without anything to learn from every text is ``und``.
+gram no language knows walk down the orders. Each language is learnt from at most
+SAMPLE_DOCS whole texts of SAMPLE_BYTES in all; where there are so many languages that this would
+pass TOTAL_DOCS or TOTAL_BYTES, each has an equal share of these, and one text at least. Every language is
+learnt; tables are kept for GROUP languages at a time, so memory grows with the sample.
+
+Null text, or text without a letter: ``und`` with score 0. Very long texts are walked, and learnt from, whole. Ties go to
+the language first in alphabetical order. Repeated rows get equal results (and are learnt from once); other
+columns, whatever their names, are ignored. Without anything to learn from, every text is ``und``. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irengine.llm.common import as_ids, byte_view, chunks, learnable, pick
+from irengine.llm.common import as_ids, byte_view, chunks, learnable, sampled
 
 SAMPLE_DOCS = 600  # texts of each language that are learnt from
-SAMPLE_CHARS = 20_000  # longer texts are not learnt from
-MAX_LANGS = 500  # bound of the languages that are told apart, the most frequent ones
+SAMPLE_BYTES = 4 << 20  # bytes of them; the text that crosses the bound still counts
+TOTAL_DOCS, TOTAL_BYTES = 24_000, 32 << 20  # of all languages together
+GROUP = 16  # languages whose costs share one table
 ORDER = 3
 SCHEMA = "doc_id long, lang_pred string, score double"
 LETTER = re.compile(r"[^\W\d_]")
@@ -138,25 +142,34 @@ class Trees:
         return total[off[1:]] - total[off[:-1]]
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> Trees | None:
-    """Trees from at most ``per_lang`` texts of each language; at most MAX_LANGS languages."""
-    rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & learnable("doc_id", 5, 0))
-    picked = pick(rows, "lang", per_lang)
-    langs = [r.lang for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
+class Languages:
+    """Trees of any number of languages, GROUP of them together."""
+
+    def __init__(self, langs: list[str], texts: list[list[str]]) -> None:
+        self.langs = langs
+        self.groups = [Trees(langs[i : i + GROUP], texts[i : i + GROUP]) for i in range(0, len(langs), GROUP)]
+
+    def bits(self, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.concatenate([g.bits(b, off) for g in self.groups], 1)
+
+
+def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, budget: int = SAMPLE_BYTES) -> Languages | None:
+    """Trees of every language that a learnable row with a text has."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & learnable("doc_id", 5, 0))
+    n = rows.select(F.count_distinct("lang")).first()[0]
+    if not n:
         return None
-    ids = picked.where(F.col("lang").isin(langs)).select("doc_id", "lang")  # at most per_lang * MAX_LANGS rows
-    texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").collect()
+    picked = sampled(rows, None, "lang", max(1, min(per_lang, TOTAL_DOCS // n)), min(budget, TOTAL_BYTES // n)).select("lang", "doc_id", "th", "text").toArrow()
     by: dict[str, list[str]] = {}
-    for r in sorted(texts, key=lambda r: (r.doc_id, r.text)):
-        by.setdefault(r.lang, []).append(r.text)
-    langs = sorted(by)
-    return Trees(langs, [by[x] for x in langs]) if langs else None
+    for lang, _, _, text in sorted(zip(*(picked.column(c).to_pylist() for c in ("lang", "doc_id", "th", "text")), strict=True)):
+        by.setdefault(lang, []).append(text)
+    return Languages(list(by), list(by.values())) if by else None
 
 
-def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
+def identify(docs: DataFrame, trees: Languages | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document; score is the posterior under equal priors, per byte-scaled lengths of at most 64 bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches):
         model = shared.value
