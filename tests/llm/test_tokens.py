@@ -64,6 +64,15 @@ def test_long(library):
     assert list(encoder.text(t)) == library.encode(t)
 
 
+def test_joined_form(spark, library):
+    """Relational throughout: every word by the lattice, every occurrence by the join."""
+    docs = frame(spark, ODD + [(50, " a\n\n b"), (51, "▁x▁▁y ▁"), (52, "don't\nstop   now ")], clashing=True)
+    got = sorted(((r.doc_id or 0, r.ids) for r in op1.encode_joined(docs, PIECES).collect()))
+    want = sorted((r.doc_id or 0, list(op1.Encoder({}, PIECES).text(r.text or ""))) for r in docs.collect())
+    assert got == want
+    assert op1.encode_joined(frame(spark, []), PIECES).count() == 0
+
+
 def test_encode_decode_frames(spark, library):
     docs = frame(spark, [r for r in ODD if r[0] not in (7, 8)], clashing=True)
     enc = op1.encode(docs, PIECES)
