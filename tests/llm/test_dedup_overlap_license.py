@@ -187,8 +187,13 @@ def brute_license(text):
     places = [(i, label) for phrase, label in op10_license.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     base = {label for _, label in places}
     met, share = set(base), [1.0] if base else [0.0]
+    blocks = [[]]
     for line in lowered.split("\n"):
-        have = set(cut(line))
+        if cut(line):
+            blocks[-1] += cut(line)
+        else:
+            blocks.append([])
+    for have in map(set, blocks):
         for label, template in op10_license.TEMPLATES:
             t = set(template.split())
             if 100 * len(t & have) >= op10_license.PERCENT * len(t):
@@ -213,7 +218,7 @@ def test_license_scan(spark):
             parts.append(rng.choice([" ", "-", "  "]).join(w).upper() if rng.random() < 0.5 else ", ".join(w))
         parts.append(rng.choice(["Under the MIT License.", "apache\nlicense version 2", "Apache License, Version 2.0", "xcc by nc", "cc-BY-nc éa", "under the mit licenses"]))
         rng.shuffle(parts)
-        rows.append((1000 + k, rng.choice(["\n", " "]).join(parts)))
+        rows.append((1000 + k, rng.choice(["\n", " ", "\n\n", "\n *\n"]).join(parts)))
     got = [tuple(r) for r in op10_license.license_scan(frame(spark, rows, clashing=True)).collect()]
     key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
     assert sorted(map(repr, sorted(got, key=lambda r: repr(r)))) == sorted(repr((i, *brute_license(t))) for i, t in rows)
@@ -230,39 +235,30 @@ BSD = """ * Redistribution and use in source and binary forms, with or without
  * are met:"""
 
 
-def brute_wrapped(text):
-    met = set(brute_license(text)[4].split(",")) - {""}
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    for paragraph in re.split(r"\n[ \t\r\f\v]*\n", lowered):
-        lines = paragraph.split("\n")
-        for label, template in op10_license.TEMPLATES:
-            t, most = set(template.split()), len(template.split())
-            for i in range(len(lines)):
-                for j in range(i + 1, min(len(lines), i + most) + 1):
-                    if 100 * len(t & set(re.findall(op10_license.WORD, "\n".join(lines[i:j])))) >= op10_license.PERCENT * len(t):
-                        met.add(label)
-    return ",".join(sorted(met))
-
-
 def test_wrapped_notices(spark):
     rng = random.Random(8)
-    rows = [(1, MIT), (2, BSD), (3, MIT.replace("copy\nof", "copy\n\nof")), (4, "Some text.\n\n" + MIT + "\n\n" + BSD), (5, MIT.replace(" ", "\n")), (6, MIT.replace("copy\n", "copy\n" + "other words\n" * 30)), *((100 + i, t) for i, (_, t) in enumerate(ODD))]
+    rows = [(1, MIT), (2, BSD), (3, MIT.replace("copy\nof", "copy\n\nof")), (4, "Some text.\n *\n" + MIT + "\n\n" + BSD), (5, MIT.replace(" ", "\n")), (6, "// " + MIT.replace("\n", "\n// "))]
     for k in range(150):
         w = " ".join(rng.choice(op10_license.TEMPLATES)[1] for _ in range(2)).split()
         for _ in range(rng.randrange(3)):
             w[rng.randrange(len(w))] = "x"
         rows.append((1000 + k, "".join(x + rng.choice([" ", " ", ", ", "\n", "\n \n" if rng.random() < 0.2 else " "]) for x in w)))
-    got = {r.doc_id: r.labels for r in op10_license.license_scan(frame(spark, rows, clashing=True), wrapped=True).collect()}
-    assert got == {i: brute_wrapped(t) for i, t in rows}
-    assert [got[i] for i in (1, 2, 3, 4, 5, 6)] == ["mit", "bsd-3", "", "bsd-3,mit", "mit", ""]
-    assert op10_license.license_scan(frame(spark, []), wrapped=True).collect() == []
-    assert len(op10_license.license_scan(frame(spark, rows), templates=[], wrapped=True).collect()) == len(rows)
-
-
-def test_wrapped_query(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    got = sorted((r.doc_id, r.labels) for r in queries.QUERIES["op10_license_wrapped"](spark, sf_dir).collect())
-    assert got == sorted((r.doc_id, brute_wrapped(r.text)) for r in rows)
+    got = {r.doc_id: r.labels for r in op10_license.license_scan(frame(spark, rows, clashing=True)).collect()}
+    assert got == {i: brute_license(t)[5] for i, t in rows}
+    assert [got[i] for i in (1, 2, 3, 4, 5, 6)] == ["mit", "bsd-3", "", "bsd-3,mit", "mit", "mit"]
+
+
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_other_thresholds(spark, monkeypatch, percent):
+    """The filters lose no block at any threshold, with random templates over few words."""
+    rng = random.Random(percent)
+    say = lambda n: " ".join(rng.choice("abcdefghijkl") for _ in range(n))
+    templates = [(f"t{k}", say(rng.randrange(1, 12))) for k in range(12)]
+    rows = [(i, "\n\n".join(say(rng.randrange(0, 9)) for _ in range(3))) for i in range(120)]
+    got = sorted((r.doc_id, r.labels, round(r.score, 9)) for r in op10_license.license_scan(frame(spark, rows), percent, templates).collect())
+    monkeypatch.setattr(op10_license, "TEMPLATES", templates)
+    monkeypatch.setattr(op10_license, "PERCENT", percent)
+    assert got == sorted((i, brute_license(t)[5], round(brute_license(t)[6], 9)) for i, t in rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
