@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from irengine.sources.tables import read_table, shared_root
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
+BATCH_ROWS = 1_000
 BROADCAST_KEYS = 100_000  # narrow rows (labels, languages, ids of a sample) that may be broadcast; beyond it joins shuffle
 _STATE: dict = {}
 
@@ -59,6 +59,15 @@ read = read_table
 
 
 # ---------------------------------------------------------------- workers
+def trim() -> None:
+    """Give free memory of this Python process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def lean(run):
     """An Arrow function that gives its memory back to the system at its end: Python workers outlive their tasks."""
 
@@ -67,11 +76,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return freed
 
@@ -225,25 +230,29 @@ def learnable(col: str = "doc_id", mod: int = 3, held: int = 1) -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod != held, F.lit(False))
 
 
-def pick(rows: DataFrame, key: str, most: int, budget: int) -> DataFrame:
-    """(key, doc_id, th): for each value of ``key`` the rows of lowest hash, at most ``most`` of them and ``budget`` bytes.
+def pick(rows: DataFrame, key: str, most: int, budget: int) -> list[tuple]:
+    """[(key, doc_id, th)]: for each value of ``key`` the rows of lowest hash, at most ``most`` of them and ``budget`` bytes.
 
     ``rows`` are (key, doc_id, th, size), each once. The row that crosses the budget still counts, so
     every key has one row at least. Counts per key come first; only rows whose hash lies in the range that
-    holds about 2 * most of them reach the window, so that a hot key never gathers its rows in one task.
+    holds about 2 * most + 40 of them reach the driver, which takes the first ones: no key is ever gathered in a task.
     """
     rows = materialise(rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 40))), "candidates")
     counts = rows.groupBy(key).agg((F.lit(1 << 40) * F.least(F.lit(1.0), F.lit(2.0 * most + 40) / F.count("*"))).alias("below"))
     few = counts.count() <= BROADCAST_KEYS
-    near = rows.join(F.broadcast(counts) if few else counts, key).where(F.col("u") <= F.col("below"))
-    w = Window.partitionBy(key).orderBy("u", "doc_id", "th")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = near.withColumn("rn", F.row_number().over(w)).withColumn("before", before)
-    return ranked.where((F.col("rn") <= most) & (F.col("before") < budget)).select(key, "doc_id", "th")
+    near = rows.join(F.broadcast(counts) if few else counts, key).where(F.col("u") <= F.col("below")).select(key, "u", "doc_id", "th", "size").toArrow()
+    forget(rows)
+    out, held = [], {}
+    for k, _, doc, th, size in sorted(zip(*(near.column(c).to_pylist() for c in near.column_names), strict=True)):
+        n, before = held.get(k, (0, 0))
+        if n < most and before < budget:
+            out.append((k, doc, th))
+            held[k] = (n + 1, before + size)
+    return out
 
 
-def sampled(docs: DataFrame, keys: DataFrame, key: str, most: int, budget: int) -> DataFrame:
-    """(key, text): a bounded training sample of whole texts, each (doc_id, text) once.
+def sampled(docs: DataFrame, keys: DataFrame | None, key: str, most: int, budget: int) -> DataFrame:
+    """(key, doc_id, th, text): a bounded training sample of whole texts, each (doc_id, text) once.
 
     ``keys`` are rows (doc_id, key), or None if ``docs`` has the column. Null texts are no candidates; texts of any length are. The
     sample is bounded by ``most`` rows and ``budget`` bytes for each value of ``key`` (plus the one text that crosses it).
@@ -251,13 +260,15 @@ def sampled(docs: DataFrame, keys: DataFrame, key: str, most: int, budget: int)
     texts = docs.where("text is not null").withColumn("th", F.xxhash64("text"))
     size = F.octet_length("text").cast("long").alias("size")
     if keys is None:
-        rows = texts.select(key, "doc_id", "th", size).distinct()
+        rows = texts.select(key, "doc_id", "th", size).where("doc_id is not null").distinct()
     else:
         rows = texts.select("doc_id", "th", size).join(keys.distinct(), "doc_id").select(key, "doc_id", "th", "size").distinct()
-    picked = materialise(pick(rows, key, most, budget), "picked")
+    kind = rows.schema[key].dataType.simpleString()
+    picked = pick(rows, key, most, budget)
+    # narrow rows, at most ``most`` for each value of the key
+    chosen = docs.sparkSession.createDataFrame(picked, f"{key} {kind}, doc_id long, th long")
+    small = F.broadcast(chosen) if len(picked) <= BROADCAST_KEYS else chosen
     on = ["doc_id", "th"] if keys is not None else [key, "doc_id", "th"]
-    # at most ``most`` narrow rows for each value of the key
-    small = F.broadcast(picked) if picked.count() <= BROADCAST_KEYS else picked
     return texts.join(small, on).groupBy(key, "doc_id", "th").agg(F.first("text").alias("text")).select(key, "doc_id", "th", "text")
 
 
@@ -268,8 +279,26 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, bud
 
 
 def as_ids(df: DataFrame) -> DataFrame:
-    """Only the two columns that text operators use; other columns, whatever their names, stay out."""
+    """Only the two columns that text operators use; other columns, whatever their names, stay out. doc_id is a whole number.
+
+    Texts go to Python workers in Arrow batches of BATCH_ROWS rows, unless the session has a size of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def only(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``judge`` of the text column (an Arrow array) says true."""
+    as_ids(docs)  # sizes of batches
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(judge(batch.column("text").cast(pa.string())))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["T"]

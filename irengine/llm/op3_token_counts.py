@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irengine.llm.common import as_ids
+from irengine.llm.common import as_ids, lean
 
 TOP = 32_768  # entries of tier 1, the bound of the broadcast
 SAMPLE_DOCS = 2_000  # texts that tier 1 is chosen from; no influence on results
@@ -94,6 +94,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     docs = as_ids(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path))
 
+    @lean
     def count(batches):
         table = Lengths(shared.value, model_path)
         look = table.__getitem__

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from irengine.llm import crf
-from irengine.llm.common import as_ids, byte_view, chunks, labelled, per_doc, shingles, space_words, span_hashes, spans
+from irengine.llm.common import as_ids, trim, byte_view, chunks, labelled, lean, only, per_doc, shingles, space_words, span_hashes, spans
 
 SAMPLE_DOCS = 1_200  # labelled documents of each kind that the field is trained on
 SAMPLE_BYTES = 8 << 20  # of their texts, of each kind; the text that crosses the bound still counts
@@ -148,6 +148,7 @@ def train(sample: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, list] | Non
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
     """The field learnt from a bounded sample of the labelled documents."""
 
+    @lean
     def lines(batches):
         for batch in batches:
             feats = [x.tobytes() for x in line_features(batch.column("text"))]
@@ -155,7 +156,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
 
     table = labelled(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES).mapInArrow(lines, "y int, doc_id long, th long, feats binary").toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "th", "y", "feats")), strict=True))
-    return train([(np.frombuffer(f, np.uint8).reshape(-1, len(CUTS)), y) for _, _, y, f in rows])
+    del table
+    model = train([(np.frombuffer(f, np.uint8).reshape(-1, len(CUTS)), y) for _, _, y, f in rows])
+    del rows
+    trim()
+    return model
+
+
+def verdicts(col: pa.Array, model: tuple | None) -> dict[str, pa.Array]:
+    """Statistics and verdict of each text of a column, by the names of SCHEMA."""
+    raw, off = byte_view(col)
+    cols: list[list] = [[] for _ in range(10)]
+    for lo, hi in chunks(off):
+        c = Chunk(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        failed = (c.n_words < 10) | (100 * c.n_repeat_words > 20 * c.n_words)
+        share, bad_lines = np.ones(hi - lo), np.zeros(hi - lo, np.int64)
+        if model is not None and len(c.feats):
+            u = model[0][c.feats].sum(1).tolist()
+            for i in range(hi - lo):
+                s, e = int(c.lines[i]), int(c.lines[i + 1])
+                tag = np.array(crf.viterbi(u[s:e], model[1]), bool)
+                if e > s:
+                    bad_lines[i] = tag.sum()
+                    share[i] = c.line_words[s:e][~tag].sum() / c.line_words[s:e].sum()
+        share[c.n_words == 0] = 0
+        values = (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed, ~failed & (share >= 0.5), share, np.diff(c.lines), bad_lines)
+        for k, v in enumerate(values):
+            cols[k].append(v)
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
+    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+    return {n: pa.array(np.concatenate(v) if v else np.zeros(0), k) for n, v, k in zip(names, cols, kinds, strict=True)}
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, model: tuple | None = None) -> DataFrame:
@@ -163,28 +193,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, model: tuple
     if model is None and labels is not None:
         model = fit(docs, labels)
 
+    @lean
     def judge(batches):
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            raw, off = byte_view(batch.column("text"))
-            cols: list[list] = [[] for _ in range(10)]
-            for lo, hi in chunks(off):
-                c = Chunk(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                failed = (c.n_words < 10) | (100 * c.n_repeat_words > 20 * c.n_words)
-                share, bad_lines = np.ones(hi - lo), np.zeros(hi - lo, np.int64)
-                if model is not None and len(c.feats):
-                    u = model[0][c.feats].sum(1).tolist()
-                    for i in range(hi - lo):
-                        s, e = int(c.lines[i]), int(c.lines[i + 1])
-                        tag = np.array(crf.viterbi(u[s:e], model[1]), bool)
-                        if e > s:
-                            bad_lines[i] = tag.sum()
-                            share[i] = c.line_words[s:e][~tag].sum() / c.line_words[s:e].sum()
-                share[c.n_words == 0] = 0
-                values = (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed, ~failed & (share >= 0.5), share, np.diff(c.lines), bad_lines)
-                for k, v in enumerate(values):
-                    cols[k].append(v)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
-            arrays = [pa.array(np.concatenate(v) if v else np.zeros(0), k) for v, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], [x.split()[0] for x in SCHEMA.split(", ")])
+            found = verdicts(batch.column("text"), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(found[n] for n in names[1:])], names)
 
     return as_ids(docs).mapInArrow(judge, SCHEMA)
+
+
+def keep(docs: DataFrame, model: tuple | None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; each row is judged by its own text."""
+    return only(docs, lambda text: verdicts(text, model)["kept"])

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irengine.llm.common import U64, as_ids, code_chunks, labelled, mix, span_hashes, spans, white
+from irengine.llm.common import as_ids, trim, code_chunks, labelled, lean, mix, only, span_hashes, spans, U64, white
 
-SAMPLE_DOCS = 2_500  # labelled documents of each kind that are learnt from
-SAMPLE_BYTES = 12 << 20  # of their texts, of each kind; the text that crosses the bound still counts
+SAMPLE_DOCS = 1_500  # labelled documents of each kind that are learnt from
+SAMPLE_BYTES = 6 << 20  # of their texts, of each kind; the text that crosses the bound still counts
 BUCKETS_LOG2 = 17
 DIM = 8
 MAX_WEIGHT = 4.0  # of a training document, relative to balanced labels
@@ -125,26 +125,39 @@ def train(sample: list[tuple[Bag, int]], epochs: int = 6, rate: float = 0.5, see
     return emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
+def scores(col: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Probability of label 1 of each text of a column."""
+    table, bias = model
+    parts = [np.zeros(0)]
+    for _, _, codes, off in code_chunks(col):
+        s, n = sums(table, codes, off)
+        parts.append(1 / (1 + np.exp(-np.clip(s / np.maximum(n, 1) + bias, -40, 40))))
+    return np.concatenate(parts)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score, predicted) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BUCKETS_LOG2 floats
 
+    @lean
     def run(batches):
-        table, bias = shared.value
         for batch in batches:
-            parts = [np.zeros(0)]
-            for _, _, codes, off in code_chunks(batch.column("text")):
-                s, n = sums(table, codes, off)
-                parts.append(1 / (1 + np.exp(-np.clip(s / np.maximum(n, 1) + bias, -40, 40))))
-            p = np.concatenate(parts)
+            p = scores(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return as_ids(docs).mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, with all their columns; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return only(docs, lambda text: pa.array(scores(text, shared.value) >= 0.5))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model learnt from a bounded sample of the labelled documents."""
 
+    @lean
     def count(batches):
         for batch in batches:
             ids, counts = zip(*[(i.tobytes(), c.tobytes()) for i, c in bags(batch.column("text"))], strict=True) if batch.num_rows else ((), ())
@@ -152,7 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     table = labelled(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES).mapInArrow(count, "y int, doc_id long, th long, ids binary, counts binary").toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "th", "y", "ids", "counts")), strict=True))
-    return train([((np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)), y) for _, _, y, i, c in rows])
+    del table
+    model = train([((np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)), y) for _, _, y, i, c in rows])
+    del rows
+    trim()
+    return model
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irengine.llm.common import as_ids, byte_view, chunks, learnable, sampled
+from irengine.llm.common import as_ids, byte_view, chunks, lean, learnable, sampled
 
 SAMPLE_DOCS = 600  # texts of each language that are learnt from
 SAMPLE_BYTES = 4 << 20  # bytes of them; the text that crosses the bound still counts
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, trees: Languages | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document; score is the posterior under equal priors, per byte-scaled lengths of at most 64 bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
+    @lean
     def run(batches):
         model = shared.value
         for batch in batches:

@@ -10,7 +10,7 @@
 3. A band bucket links each member to its smallest member (never all pairs);
    the components of these links are candidate groups: every pair that shares
    a band lies in one group.
-4. A group's members are dealt into blocks of about BLOCK rows by a hash; a few
+4. A group's members are dealt into blocks of about BLOCK rows and BLOCK_SHINGLES shingles by a hash; a few
    members, the leaders, are guests in every block of their group. In a block,
    signatures give collision-corrected similarities by counting equal packed bytes; pairs
    that could reach the threshold (4.5 standard errors of slack) and are not yet
@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irengine.llm.common import LOWER, U64, as_ids, byte_view, chunks, materialise, mix, per_doc, shingles, space_words, span_hashes
+from irengine.llm.common import as_ids, byte_view, chunks, lean, LOWER, materialise, mix, per_doc, shingles, space_words, span_hashes, U64
 from irengine.llm.components import connected_components
 
 HASHES = 252
 MISS = 1e-6  # a pair at the threshold shares no band with this probability at most
 BITS = 8
-BLOCK = 512  # members of a candidate group in one block
+BLOCK = 512  # members of a candidate group in one block,
+BLOCK_SHINGLES = 4 << 20  # and shingles of theirs, so that long texts make small blocks
 LEADERS = 8  # members of a group that every block of it sees
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 _rng = np.random.default_rng(20240607)
@@ -102,11 +103,12 @@ def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Step 1; bands and signature are null for an empty set."""
     shape = banding(percent)
 
+    @lean
     def run(batches):
         for batch in batches:
             raw, off = byte_view(batch.column("text"))
             size, keys, bands, sigs = [], [], [], []
-            for lo, hi in chunks(off, 1 << 19):
+            for lo, hi in chunks(off):
                 with np.errstate(over="ignore"):
                     sets = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     m = np.stack([minima(s) for s in sets])
@@ -186,7 +188,9 @@ def confirmed(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _in_blocks(groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Step 4: (links, nodes of groups with several blocks) from (node, component)."""
     leaders = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(LEADERS)]
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.array(*leaders).alias("leaders")).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    weighed = groups.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = weighed.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.array(*leaders).alias("leaders"))
+    sizes = sizes.withColumn("k", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
     dealt = groups.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
     x = F.when(F.array_contains("leaders", F.col("node")), every).otherwise(F.array("mine"))
@@ -200,16 +204,17 @@ def _across_blocks(links: DataFrame, large: DataFrame, reps: DataFrame, texts: D
     """Step 5: links between members of a band bucket that ``links`` leaves in different components."""
     known = connected_components(links).withColumnRenamed("component", "known")
     members = materialise(large.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known")), "minhash-known")
-    own = reps.select(F.col("rep").alias("node"), "bands", "signature")
-    rows = members.join(own.drop("signature"), "node").select("node", "known", F.explode("bands").alias("band"))
-    parts = rows.groupBy("band", "known").agg(F.count("*").alias("n"))
+    own = reps.select(F.col("rep").alias("node"), "bands", "signature", "n_shingles")
+    weight = F.greatest(F.lit(1.0), F.col("n_shingles") * block / BLOCK_SHINGLES)  # of a text, so that ``block`` of them fill a block
+    rows = members.join(own.drop("signature"), "node").select("node", "known", weight.alias("weight"), F.explode("bands").alias("band"))
+    parts = rows.groupBy("band", "known").agg(F.sum("weight").alias("n"))
     buckets = parts.groupBy("band").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     few, many = F.ceil((F.col("n") - F.col("main.n")) / block).cast("int"), F.ceil(F.col("main.n") / block).cast("int")
     buckets = buckets.select("band", F.col("main.known").alias("main"), few.alias("few"), many.alias("many"))
     met = rows.join(buckets, "band").withColumn("inside", F.col("known") == F.col("main"))
     # blocks 0 .. few - 1 hold the members outside of the largest component, the next ones those inside
     number = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few"))).cast("int") + F.when(F.col("inside"), F.col("few")).otherwise(0)
-    met = met.withColumn("side", number).join(own.drop("bands"), "node")
+    met = met.withColumn("side", number).join(own.drop("bands", "n_shingles"), "node")
     last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     pairs = F.transform(F.sequence(F.lit(0), last), lambda y: F.struct(F.least("side", y).alias("x"), F.greatest("side", y).alias("y")))
     met = materialise(met.select(F.col("node").alias("doc_id"), "band", "known", "side", "signature", pairs.alias("pairs")), "minhash-open")
@@ -223,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     docs = as_ids(docs)
     sk = materialise(sketches(docs, percent), "minhash")
     # classes of equal sets; the smallest id stands for each
-    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("n"))
+    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     reps = materialise(reps, "minhash-reps")
     rows = reps.select("rep", F.explode("bands").alias("band"))
     low = rows.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
@@ -244,3 +249,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     return sk.select("doc_id", "n_shingles", key.alias("set_key")).join(told, "set_key", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id")
     )
+
+
+def keep(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one of each group of near copies.
+
+    Every row counts by itself, whatever its doc_id: repeated rows are copies of one another, and rows that share a
+    doc_id but not a text are two documents. Of a group the row with the smallest doc_id stays (nulls last; among
+    equal ones the row that is read first). Rows without words stay.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
+    first = numbered.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row)
+    return numbered.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,7 +86,7 @@ def overlap_pairs(docs, items):
         if text is None or item is None or i is None:
             continue
         a, b = cut(text), cut(item)
-        if len(b) < 8:
+        if not b:
             continue
         width = min(13, len(b))
         least = width - (2 if len(b) >= 13 else 0)

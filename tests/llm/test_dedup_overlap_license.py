@@ -19,7 +19,7 @@ def test_masks_lose_nothing():
 
     for bad in itertools.combinations(range(13), 2):
         assert any(all(at + o not in bad for o in m) for m in op2_decontamination.MASKS for at in range(13 - m[-1]))
-    for n in range(8, 13):  # short items, all words equal
+    for n in range(op2_decontamination.MASKED, 13):  # short items, all words equal
         assert any(n > m[-1] for m in op2_decontamination.MASKS)
 
 
@@ -28,7 +28,7 @@ def contaminated():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(k, " ".join(say(n))) for k, n in enumerate((7, 8, 10, 13, 14, 30, 30))] + [(5, None), (None, "no id here"), (8, "")]
+    items = [(k, " ".join(say(n))) for k, n in enumerate((7, 8, 10, 13, 14, 30, 30))] + [(5, None), (None, "no id here"), (8, ""), (9, "w3 w4 changed w5 w6"), (10, "two")]
     items.append(items[5])
     docs = []
     for k in range(40):
@@ -40,7 +40,7 @@ def contaminated():
         if k % 3:
             w[len(w) // 2 : len(w) // 2] = cut
         docs.append((k, "; ".join(w).upper() if k % 2 else " ".join(w)))
-    docs += [(100, docs[4][1]), (4, docs[4][1]), (101, items[6][1]), (102, "one two"), *[r for r in ODD if r[0] != 7 and r[0] is not None]]
+    docs += [(100, docs[4][1]), (4, docs[4][1]), (101, items[6][1]), (102, "one two"), (103, "see, no id here at all"), (104, "say W3 w4 changed, w5 w6!"), *[r for r in ODD if r[0] != 7 and r[0] is not None]]
     return docs, items
 
 
@@ -66,7 +66,8 @@ def test_clean(spark, contaminated):
     bench = spark.createDataFrame(items, "item_id long, text string")
     all_docs = frame(spark, [*docs, (None, None)], clashing=True)
     kept = op2_decontamination.clean(all_docs, bench)
-    leaks = {k for k, _ in overlap_pairs([(k, t) for k, (_, t) in enumerate(docs)], items)}
+    leaks = {k for k, _ in overlap_pairs([(k, t) for k, (_, t) in enumerate(docs)], [(i or 99, t) for i, t in items])}
+    assert any(t == "see, no id here at all" for k, (_, t) in enumerate(docs) if k in leaks)  # an item without an id leaks too
     assert kept.columns == all_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for k, (d, _) in enumerate(docs) if k not in leaks)
     assert kept.where("doc_id is null").count() == 1

@@ -3,10 +3,11 @@
 import zlib
 from array import array
 
+import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from irengine.llm import op4_quality_rules, op5_quality_classifier, queries
+from irengine.llm import op4_quality_rules, op5_quality_classifier, op8_minhash, queries
 
 from .helpers import ODD, base_statistics, frame, near_components, overlap_pairs
 
@@ -16,14 +17,14 @@ def by_hand(spark, docs, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     verdict = {r.doc_id: r.kept for r in op4_quality_rules.quality_rules(docs, labels).collect()}
-    rows = [(i, t) for i, t in rows if i is not None and verdict[i]]
+    rows = [(i, t) for i, t in rows if verdict[i]]
     for _, t in rows:
         s = base_statistics(t)
         assert s[0] >= 10 and 100 * s[4] <= 20 * s[0]
-    left = frame(spark, rows)
-    scores = {r.doc_id: r.score for r in op5_quality_classifier.quality_classifier(left, labels).collect()}
+    model = op5_quality_classifier.fit(docs, labels)  # of the whole corpus, as in the pipeline
+    scores = {r.doc_id: r.score for r in op5_quality_classifier.score(frame(spark, rows), model).collect()}
     rows = [(i, t) for i, t in rows if scores[i] >= 0.5]
-    component = near_components(rows)
+    component = near_components(rows, 80)
     rows = [(i, t) for i, t in rows if component[i] == i]
     leaks = {d for d, _ in overlap_pairs(rows, items)}
     rows = [(i, t) for i, t in rows if i not in leaks]
@@ -87,3 +88,18 @@ def test_encodings_are_the_output(spark, sf_dir):
         assert r.n_pieces == len(r.ids) and r.round_trip and r.ids_crc32 == zlib.crc32(array("I", r.ids).tobytes())
         if r.doc_id is not None:
             assert r.ids == library.encode(texts[r.doc_id] or "")
+
+
+def test_rows_are_judged_by_themselves(spark, sf_dir):
+    """Rows that share an id, or have none, stand for themselves; of repeated rows one stays."""
+    good = [" ".join(f"w{b}x{i}" for i in range(60)) for b in range(5)]
+    bad = "few words"
+    rows = [(1, good[0]), (1, bad), (1, good[1]), (2, good[2]), (2, good[2]), (None, good[3]), (None, bad), (None, good[0]), (3, good[2]), (4, None)]
+    model = (np.zeros((op4_quality_rules.N_FEATS + 1, 2)), [[0.0, 0.0], [0.0, 0.0]])
+    docs = op4_quality_rules.keep(frame(spark, rows, clashing=True), model)
+    assert docs.columns == frame(spark, rows, clashing=True).columns
+    assert sorted(((r.doc_id or 0), r.text) for r in docs.collect()) == sorted((i or 0, t) for i, t in rows if t not in (bad, None))
+    left = op8_minhash.keep(docs, 80)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, good[0]), (1, good[1]), (2, good[2]), (0, good[3])])
+    assert op8_minhash.keep(frame(spark, []), 80).count() == 0
