@@ -10,58 +10,68 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # ---------------------------------------------------------------- byte codes
+def _groups(values) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of 7-bit groups, least significant first; number of groups of each value)."""
+    v = np.array(values, np.int64).reshape(-1)
+    if len(v) and v.min() < 0:
+        raise ValueError("negative value")
+    low = (v[:, None] >> (7 * np.arange(9))) & 127
+    return low.astype(np.uint8), 1 + np.sum(v[:, None] >> (7 * np.arange(1, 9)) > 0, axis=1)
+
+
 def varbyte_encode(values) -> bytes:
-    out = bytearray()
-    for v in values:
-        if v < 0:
-            raise ValueError("negative value")
-        groups = [v & 127]
-        while v := v >> 7:
-            groups.append(v & 127)
-        groups[-1] |= 128
-        out += bytes(reversed(groups))
-    return bytes(out)
+    low, n = _groups(values)
+    place = np.arange(9)[None]
+    use = place < n[:, None]
+    # most significant group first: group n - 1 - k stands at place k
+    out = np.take_along_axis(low, np.where(use, n[:, None] - 1 - place, 0), 1)
+    out[:, 0] |= 128
+    return out[use].tobytes()
 
 
 def varbyte_decode(data: bytes) -> list[int]:
-    out: list[int] = []
-    for x in data:
-        if x & 128:
-            out.append(x & 127)
-        elif out:
-            out[-1] = out[-1] << 7 | x
-        else:
-            raise ValueError("first byte carries no flag")
-    return out
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return []
+    if not b[0] & 128:
+        raise ValueError("first byte carries no flag")
+    start = np.flatnonzero(b & 128)
+    size = np.diff(np.append(start, len(b)))
+    up = np.repeat(start + size, size) - 1 - np.arange(len(b))
+    return _joined(b, up, start)
+
+
+def _joined(b: np.ndarray, up: np.ndarray, start: np.ndarray) -> list[int]:
+    """Numbers from groups that begin at ``start``, each shifted by ``up`` places of 7 bits."""
+    if up.max() > 8:
+        raise ValueError("value out of range")
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * up), start).tolist()
 
 
 def leb128_encode(values) -> bytes:
-    out = bytearray()
-    for v in values:
-        if v < 0:
-            raise ValueError("negative value")
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    low, n = _groups(values)
+    place = np.arange(9)[None]
+    more = (place < n[:, None] - 1) * np.uint8(128)
+    return (low | more)[place < n[:, None]].tobytes()
 
 
 def leb128_decode(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for x in data:
-        value |= (x & 127) << shift
-        shift += 7
-        if x < 128:
-            out.append(value)
-            value = shift = 0
-    return out
+    b = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(b < 128)
+    if not len(end):
+        return []
+    b = b[: end[-1] + 1]  # groups without an end say nothing
+    start = np.append(0, end[:-1] + 1)
+    up = np.arange(len(b)) - np.repeat(start, end - start + 1)
+    return _joined(b, up, start)
 
 
 # ---------------------------------------------------------------- simple9
@@ -124,15 +134,18 @@ class BitWriter:
     """Bits, most significant first; the last byte is filled with zeros."""
 
     def __init__(self) -> None:
-        self.bits: list[int] = []
+        self.done, self.word, self.held = bytearray(), 0, 0
 
     def add(self, bit: int) -> None:
-        self.bits.append(bit)
+        self.word = self.word << 1 | bit
+        self.held += 1
+        if self.held == 64:
+            self.done += self.word.to_bytes(8, "big")
+            self.word = self.held = 0
 
     def getvalue(self) -> bytes:
-        n = len(self.bits)
-        text = "".join(map(str, self.bits)).ljust((n + 7) // 8 * 8, "0")
-        return int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
+        size = (self.held + 7) // 8
+        return bytes(self.done) + (self.word << (8 * size - self.held)).to_bytes(size, "big")
 
 
 class BitReader:
@@ -209,17 +222,24 @@ def encode(values: Column, codec: str) -> Column:
     return run(values)
 
 
-def decode(data: Column, codec: str) -> Column:
-    """binary -> array<long> of gaps."""
+def decode(data: Column, codec: str, running: bool = False) -> Column:
+    """binary -> array<long> of gaps, or of their running sums."""
     unpack = CODECS[codec][1]
 
     @F.pandas_udf("array<long>")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda v: None if v is None else unpack(bytes(v)))
+        gaps = batch.map(lambda v: None if v is None else unpack(bytes(v)))
+        return gaps.map(lambda v: None if v is None else np.cumsum(np.array(v, np.int64))) if running else gaps
 
     return run(data)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running_sums(values: pd.Series) -> pd.Series:
+    """array<long> -> the sum up to each of its places."""
+    return values.map(lambda v: None if v is None else np.cumsum(np.asarray(v, np.int64)))
+
+
 def varbyte_size(value: Column) -> Column:
     """Bytes that either byte code needs for one number."""
     size = F.lit(1)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 ALNUM = r"[\p{L}\p{N}]+"
-_PUNCT = r"[!-/:-@\[-`{-~«»]"
+# Fixed value: the ASCII punctuation marks in their order, and the two angle quotes.
+_PUNCT = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~«»]"
 #: White space after a full stop or question mark, unless an abbreviation, an initial or a "Mr."-like title stands before it.
 SENTENCE_BREAK = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
 
@@ -36,7 +37,7 @@ def join_numbers(text: Column) -> Column:
 
 
 def remove_entities(text: Column) -> Column:
-    return F.regexp_replace(text, "&[0-9A-Z_a-z]+;", " ")
+    return F.regexp_replace(text, "&[0-9a-z_A-Z]+;", " ")  # fixed value
 
 
 def strip_punct(text: Column) -> Column:
@@ -78,8 +79,8 @@ def short_tokens(text: Column, limit: int = 11) -> Column:
 
 def squeezed_text(text: Column) -> Column:
     """Line breaks to spaces, only Latin and Russian letters (without yo), digits and spaces kept, runs of spaces made one."""
-    flat = F.regexp_replace(text, r"[(\r\n|)]+", " ")
-    return F.regexp_replace(F.regexp_replace(flat, "[^0-9A-Za-zА-Яа-я ]", ""), " +", " ")
+    flat = F.regexp_replace(text, r"[(\r\n|\r|\n)]+", " ")  # fixed values, here and below
+    return F.regexp_replace(F.regexp_replace(flat, "[^0-9a-zA-Zа-яА-Я ]+", ""), " +", " ")
 
 
 def lemmas(tokens: Column, lemmatise: Callable[[str], str]) -> Column:

@@ -56,11 +56,8 @@ def encode_postings(lists: DataFrame, codec: str) -> DataFrame:
 
 def decode_postings(encoded: DataFrame, codec: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(term, doc_id) from encoded lists."""
-    gaps = encoded.select("term", "block", codecs.decode(F.col("data"), codec).alias("gaps"))
-    zero = F.lit(0).cast("long")
-    start = F.array().cast("array<long>")
-    ids = F.aggregate("gaps", F.struct(zero.alias("at"), start.alias("ids")), lambda a, g: F.struct((a["at"] + g).alias("at"), F.concat(a["ids"], F.array(a["at"] + g)).alias("ids")), lambda a: a["ids"])
-    return gaps.select("term", "block", F.explode(ids).alias("n")).select("term", (F.col("n") - 1 + F.col("block") * block_docs).alias("doc_id"))
+    ids = encoded.select("term", "block", codecs.decode(F.col("data"), codec, running=True).alias("ids"))
+    return ids.select("term", "block", F.explode("ids").alias("n")).select("term", (F.col("n") - 1 + F.col("block") * block_docs).alias("doc_id"))
 
 
 def write_index(lists: DataFrame, path: str, codec: str = "varbyte") -> None:

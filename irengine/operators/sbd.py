@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from irengine.functions.codecs import running_sums
+
 # Marks, sentence-ending marks, and Russian abbreviations in four shapes.
 MARKS = ("!", '"', ".", "?", "»", "…")
 GOOD_ENDS = ("!", "…", ".", "?")
@@ -21,15 +23,18 @@ ABBREVIATIONS = {
     "three": (" т.е. ", " т.д. ", " т.п. ", " л.д. ", " т.к ", " т.н. ", " p.m. "),
     "four": (" т. д. ", " т. е. ", " н. э. ", " т. п. ", " т. н "),
 }
-_MARK_CLASS = '[!".?»…]'
+_MARK_CLASS = r'[\.!?"»…]'
 _BEFORE, _AFTER = 5, 6
 W_MARK = _BEFORE
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, pos, mark, w, size, letter): every mark with its window, the paragraph's length, and the first letter after it."""
+def candidates(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
+    """(doc_id, pos, mark, w, size, letter): every mark with its window, the paragraph's length, and the first letter after it.
+
+    With ``reach`` also ``snippet``: so many characters on each side of the mark, as far as the text goes.
+    """
     chars, letters = F.col("chars"), F.col("letters")
-    tails = F.regexp_extract_all(F.col(text), F.lit(f'{_MARK_CLASS}[^!".?»…]*'), F.lit(0))
+    tails = F.regexp_extract_all(F.col(text), F.lit(_MARK_CLASS + r'[^\.!?"»…]*'), F.lit(0))
     cut = docs.where(F.col(text) != "").select("doc_id", F.split(F.col(text), "", -1).alias("chars"), F.transform(tails, lambda t: F.regexp_extract(t, r"\p{L}", 0)).alias("letters"))
     places = cut.select("*", F.filter(F.transform(chars, lambda c, i: F.when(c.isin(*MARKS), i)), lambda i: i.isNotNull()).alias("at"))
 
@@ -37,7 +42,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         window = F.transform(F.sequence(i - _BEFORE, i + _AFTER), lambda j: F.when(j >= 0, F.get(chars, j)))
         # nearly always the text up to the next mark has a letter; else look further
         letter = F.when(F.get(letters, k) != "", F.get(letters, k)).otherwise(F.get(F.filter(letters, lambda x, n: (n > k) & (x != "")), F.lit(0)))
-        return F.struct(i.alias("pos"), F.get(chars, i).alias("mark"), window.alias("w"), F.size(chars).alias("size"), letter.alias("letter"))
+        low = F.greatest(i - (reach or 0), F.lit(0))
+        snippet = [F.array_join(F.slice(chars, low + 1, i + (reach or 0) + 1 - low), "").alias("snippet")] if reach is not None else []
+        return F.struct(i.alias("pos"), F.get(chars, i).alias("mark"), window.alias("w"), F.size(chars).alias("size"), letter.alias("letter"), *snippet)
 
     return places.select("doc_id", F.explode(F.transform("at", row)).alias("c")).select("doc_id", "c.*")
 
@@ -49,9 +56,12 @@ def labels_first(docs: DataFrame, sentences: str = "sentences", text: str = "tex
 
 
 def labels_running(docs: DataFrame, sentences: str = "sentences") -> DataFrame:
-    """(doc_id, pos): ends of gold sentences that follow one another with one separator in between."""
-    ends = F.transform(F.sequence(F.lit(0), F.size(sentences) - 1), lambda i: F.aggregate(F.slice(sentences, 1, i + 1), F.lit(-1), lambda a, s: a + F.length(s)) + i)
-    return docs.where(F.size(sentences) > 0).select("doc_id", F.explode(ends).alias("pos"))
+    """(doc_id, pos): ends of gold sentences that follow one another with one separator in between.
+
+    Every sentence moves the end by its length and one; the running sums of a document are taken in one pass.
+    """
+    steps = F.transform(sentences, lambda s: (F.length(s) + 1).cast("long"))
+    return docs.where(F.size(sentences) > 0).select("doc_id", F.explode(running_sums(steps)).alias("end")).select("doc_id", (F.col("end") - 2).cast("int").alias("pos"))
 
 
 def label(cands: DataFrame, gold: DataFrame) -> DataFrame:
@@ -141,17 +151,28 @@ def window_codes(low: int = -5, high: int = 2) -> Column:
 
 
 # Patterns over the text three places before to four after the mark (five and six where given); value at the paragraph's end.
-_RU, _Ru = "[А-ЯЁ|]", "[а-яё|]"
+# The backslash before "э" of the seventh abbreviation is left out: it changes nothing, and RE2 does not read it.
 PATTERNS: dict[str, tuple[str, int, int, int]] = {
     "ellipsis": (r"\.\.\. ", -3, 4, 1),
-    "bracket": (rf"[а-я|]\)\. {_RU}[^.]", -3, 4, 1),
-    "initial_upper": (rf"{_RU}\. {_RU}[^.]", -3, 4, 1),
-    "mark_upper": (rf'[.!?"»…] {_RU}[^.]', -3, 4, 1),
-    "short_name": (rf"{_RU}{_Ru}\. {_RU}[^.]", -3, 4, 0),
-    "two_initials": (rf"{_RU}\.{_RU}\. {_RU}[^.]", -5, 6, 0),
-    **{f"abbr_{i}": (p, -3, 4, 0) for i, p in enumerate((r" г\.", r"гг\.", r"т\.д\.", r"т\.к\.", r"т\.п\.", r"т\.е\.", r"н\.э.", r"вв\.", r" в\.", r" им\.", r" м\.", r" ул\."))},
+    "bracket": (r"[а-я|]\)\. [А-Я|Ё][^\.]", -3, 4, 1),
+    "initial_upper": (r"[А-Я|Ё]\. [А-Я|Ё][^\.]", -3, 4, 1),
+    "mark_upper": (r'[\.!?"»…] [А-Я|Ё][^\.]', -3, 4, 1),
+    "short_name": (r"[А-Я|Ё][а-я|ё]\. [А-Я|Ё][^\.]", -3, 4, 0),
+    "two_initials": (r"[А-Я|Ё]\.[А-Я|Ё]\. [А-Я|Ё][^\.]", -5, 6, 0),
+    "abbr_0": (r" г\.", -3, 4, 0),
+    "abbr_1": (r"гг\.", -3, 4, 0),
+    "abbr_2": (r"т\.д\.", -3, 4, 0),
+    "abbr_3": (r"т\.к\.", -3, 4, 0),
+    "abbr_4": (r"т\.п\.", -3, 4, 0),
+    "abbr_5": (r"т\.е\.", -3, 4, 0),
+    "abbr_6": (r"н\.э.", -3, 4, 0),
+    "abbr_7": (r"вв\.", -3, 4, 0),
+    "abbr_8": (r" в\.", -3, 4, 0),
+    "abbr_9": (r" им\.", -3, 4, 0),
+    "abbr_10": (r" м\.", -3, 4, 0),
+    "abbr_11": (r" ул\.", -3, 4, 0),
     "stop_quote": (r"\.»", -3, 4, 1),
-    "ellipsis_quote": ("…»", -3, 4, 1),
+    "ellipsis_quote": (r"…»", -3, 4, 1),
 }
 
 
@@ -207,9 +228,10 @@ def last_characters(docs: DataFrame, sentences: str = "sentences") -> DataFrame:
     return docs.select(F.explode(sentences).alias("s")).where("s <> ''").groupBy(F.expr("right(s, 1)").alias("last_char")).agg(F.count("*").alias("cnt"))
 
 
-def errors(judged: DataFrame, reach: int = 5) -> DataFrame:
-    """(doc_id, pos, label, predicted, snippet) of the candidates that were judged wrongly."""
-    return judged.where("predicted <> label").select("doc_id", "pos", "label", "predicted", _around(-min(reach, _BEFORE), min(reach, _AFTER) + 1).alias("snippet"))
+def errors(judged: DataFrame) -> DataFrame:
+    """(doc_id, pos, label, predicted, snippet) of the candidates that were judged wrongly; without a snippet of their own, their window."""
+    snippet = F.col("snippet") if "snippet" in judged.columns else _around(-_BEFORE, _AFTER + 1)
+    return judged.where("predicted <> label").select("doc_id", "pos", "label", "predicted", snippet.alias("snippet"))
 
 
 # ---------------------------------------------------------------- model

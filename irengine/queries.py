@@ -498,7 +498,7 @@ def voting_spam(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sentence boundaries
-_M = '[!".?»…]'
+_M = '[.!?"»…]'
 _CH = f"""ch as (select doc_id, text as par, string_split(text, '') as c, length(text) as size from documents where text <> ''),
 cand as (select doc_id, par, c, size, pos from (select *, unnest(range(size)) as pos from ch) where c[pos + 1] in ('!', '"', '.', '?', '»', '…'))"""
 
@@ -613,9 +613,11 @@ def sbd_confusion(spark, sf_dir):
     return judged.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {_CH}, {_LETTER}, {_LINES}, j as (select cl.doc_id, cl.pos, c, (gold.pos is not null)::int as label, (cl.pos + 1 >= size or (coalesce({_c(1).replace('pos', 'cl.pos')} in (' ', chr(10)), false) and {_CAP}))::int as predicted from cl left join gold on gold.doc_id = cl.doc_id and gold.pos = cl.pos)
+select doc_id, pos::int as pos, label, predicted, array_to_string(c[greatest(pos - 14, 1):pos + 16], '') as snippet from j where label <> predicted""")
 def sbd_errors(spark, sf_dir):
-    return sbd.errors(sbd.rule_upper(sbd.label(_cands(spark, sf_dir), sbd.labels_first(_gold(spark, sf_dir)))))
+    cands = sbd.candidates(documents(spark, sf_dir), reach=15)
+    return sbd.errors(sbd.rule_upper(sbd.label(cands, sbd.labels_first(_gold(spark, sf_dir)))))
 
 
 @query()

@@ -91,7 +91,7 @@ def test_html_odd_input():
     assert parse_page("</p></p>x")[1] == "x"
     p = PageParser()
     p.feed("<html><title>not in head</title>")
-    assert p.title == []
+    assert p.found["title"] == []
 
 
 def test_html_columns(spark):
