@@ -117,8 +117,12 @@ def feature_counts(*tables: DataFrame, lower: bool = True, extended: bool = True
 
 
 def mine_features(quota_urls: DataFrame, all_urls: DataFrame, n: int = 1000, least: int = 100, seed: int = 0) -> DataFrame:
-    """Frequent features of n URLs drawn from each list, by falling count."""
-    picked = [t.select("url").orderBy(F.rand(seed + i)).limit(n) for i, t in enumerate((quota_urls, all_urls))]
+    """Frequent features of n URLs drawn from each list, by falling count.
+
+    URLs are drawn without replacement in the order of a hash with the seed, so that a draw can be repeated.
+    """
+    draw = lambda i: F.md5(F.concat_ws(":", F.lit(seed + i), "url").cast("binary"))
+    picked = [t.select("url").where("url is not null").orderBy(draw(i), "url").limit(n) for i, t in enumerate((quota_urls, all_urls))]
     return feature_counts(*picked).where(F.col("cnt") >= least).orderBy(F.desc("cnt"), "feature")
 
 

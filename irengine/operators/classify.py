@@ -44,8 +44,9 @@ def keyword_rule(docs: DataFrame, keyword: str, words: Column | None = None) ->
 
 
 def random_rule(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, score): a number in [0, 1) that depends on the document's id alone."""
-    return docs.select("doc_id", (F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), "doc_id").cast("binary")), F.lit(1_000_003)) / 1_000_003).alias("score"))
+    """(doc_id, score): a number in [0, 1) that depends on the document's id alone: 32 bits of an MD5."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    return docs.select("doc_id", (bits / (1 << 32)).alias("score"))
 
 
 def decide(scores: DataFrame, threshold: float) -> DataFrame:
@@ -180,3 +181,8 @@ def vote(docs: DataFrame, models: dict[str, PipelineModel], threshold: float = 0
 
 def train_test(df: DataFrame, test: float = 0.33, seed: int = 0) -> list[DataFrame]:
     return df.randomSplit([1 - test, test], seed)
+
+
+def hash_split(docs: DataFrame, test: float = 0.33, seed: int = 0) -> DataFrame:
+    """(doc_id, is_test): a split that is the same in every run, whatever the order of rows."""
+    return random_rule(docs, seed).select("doc_id", (F.col("score") < test).alias("is_test"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
@@ -94,14 +95,14 @@ class SentenceGraph:
         """Number of other sentences that each node is linked with."""
         return np.array([int(self.times[x].sum()) - int(k in x) for k, x in enumerate(self.links)], dtype=np.int64)
 
-    def walk(self, rounds: int, eps: float) -> np.ndarray:
-        """Score of each node's sentences after ``rounds`` steps p <- p M, or fewer once the change (L2) is under eps."""
+    def walk(self, rounds: int | None, eps: float) -> np.ndarray:
+        """Score of each node's sentences once a step p <- p M changes it (L2) by less than eps, or after ``rounds`` steps, if given."""
         if not len(self.times):
             return np.zeros(0)
         total = int(self.times.sum())
         degree = self.degrees() + 1
         p = np.full(len(self.times), 1 / total)
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             flow = p / degree
             mass = flow * self.times
             # own share, and for twins the shares of the others with equal words
@@ -144,10 +145,11 @@ def sentence_similarity(docs: DataFrame, threshold: float = 0.3, split=tx.senten
     return _by_document(docs, split, "n_similar long, max_sim double", rows)
 
 
-def lexrank(docs: DataFrame, threshold: float = 0.3, rounds: int = 50, eps: float = 1e-3, split=tx.sentences) -> DataFrame:
+def lexrank(docs: DataFrame, threshold: float = 0.3, rounds: int | None = None, eps: float = 1e-3, split=tx.sentences) -> DataFrame:
     """(doc_id, sent, score): random walk over the sentences of a document, linked where the cosine exceeds the threshold.
 
-    Every sentence links to itself, rows of the matrix add up to 1. With eps = 0 exactly ``rounds`` steps are made.
+    Every sentence links to itself and rows of the matrix add up to 1, so the walk converges: it goes on until a step changes
+    the scores by less than eps. With ``rounds`` and eps = 0 exactly so many steps are made.
     """
 
     def rows(sentences):

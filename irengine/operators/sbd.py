@@ -130,6 +130,19 @@ def one_hot(value: Column, words: tuple[str, ...]) -> Column:
     return F.transform(F.array(*map(F.lit, words)), lambda x: F.coalesce((value == x).cast("int"), F.lit(0)))
 
 
+def fit_classes(rows: DataFrame, value: str, most: int = 10_000) -> list:
+    """The distinct values of a column in order, at most ``most`` of them: the places of a one-hot code."""
+    found = [r[0] for r in rows.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{value} has more than {most} values")
+    return found
+
+
+def class_place(value: Column, classes: list) -> Column:
+    """Place of the value's 1 in its one-hot code, from 1 on; 0 for a value that was not there when the classes were fitted."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, classes)), value), F.lit(0)).cast("int")
+
+
 def abbreviation_hots(cands: DataFrame) -> DataFrame:
     """Adds an array for each of the four shapes of abbreviations that end at the mark, with the blanks around them.
 

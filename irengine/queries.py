@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irengine.functions import codecs, urls
@@ -13,6 +13,7 @@ from irengine.functions import text as tx
 from irengine.functions.html import page_texts, zlib_size
 from irengine.operators import classify, dedup, index, rank, sbd, segments
 from irengine.plans import boolean
+from irengine.sources import documents as sources
 from irengine.sources.tables import read_table as table
 from irengine.sources.tables import shared_root
 from irengine.streaming import jobs
@@ -421,12 +422,16 @@ def nb_scores(spark, sf_dir):
 
 _CUTS = classify.steps(-6.0, 2.0, 0.25)
 _RATIO = "(case when {a} = 0 or {b} = 0 then 0.0 else {a} / {b} end)"
-_SWEEP = f"""th as (select unnest({_CUTS})::double as threshold), k as (select threshold, (count(*) filter (where score > threshold and is_class))::bigint as tp, (count(*) filter (where score > threshold and not is_class))::bigint as fp,
+def _sweep(cuts: list[float]) -> str:
+    return f"""th as (select unnest({cuts})::double as threshold), k as (select threshold, (count(*) filter (where score > threshold and is_class))::bigint as tp, (count(*) filter (where score > threshold and not is_class))::bigint as fp,
  (count(*) filter (where not score > threshold and is_class))::bigint as fn, (count(*) filter (where not score > threshold and not is_class))::bigint as tn from sc, th where score is not null and is_class is not null group by threshold),
 m as (select *, {_RATIO.format(a='tp', b='(tp + fp)')} as prec, {_RATIO.format(a='tp', b='(tp + fn)')} as recall, {_RATIO.format(a='tn', b='(tn + fn)')} as not_prec, {_RATIO.format(a='tn', b='(tn + fp)')} as not_recall from k),
 f as (select *, {_RATIO.format(a='(2 * prec * recall)', b='(prec + recall)')} as f1, {_RATIO.format(a='(2 * not_prec * not_recall)', b='(not_prec + not_recall)')} as not_f1 from m)"""
 
 
+_SWEEP = _sweep(_CUTS)
+
+
 @query(f"with {_LAB}, {_NB}, {_SCORES}, {_SWEEP} select round(threshold, 6) as threshold, tp, fp, fn, tn, round(prec, 6) as prec, round(recall, 6) as recall, round(not_prec, 6) as not_prec, round(not_recall, 6) as not_recall, round(f1, 6) as f1, round(not_f1, 6) as not_f1, round((f1 + not_f1) / 2, 6) as macro_f1 from f")
 def nb_threshold_sweep(spark, sf_dir):
     t = classify.threshold_sweep(_scored(spark, sf_dir), _CUTS)
@@ -450,7 +455,10 @@ def keyword_rule(spark, sf_dir):
     return classify.keyword_rule(documents(spark, sf_dir), "the")
 
 
-@query()
+_RANDOM = "('0x' || md5('0:' || doc_id)[1:8])::bigint / 4294967296"
+
+
+@query(f"select doc_id, {_RANDOM} as score from documents")
 def random_rule(spark, sf_dir):
     return classify.random_rule(documents(spark, sf_dir))
 
@@ -494,7 +502,7 @@ def voting_spam(spark, sf_dir):
     """Soft vote of the word and character n-gram models, learnt from the labelled documents, over all documents."""
     train = labelled(spark, sf_dir, "quality").select("doc_id", "text", F.col("is_class").cast("double").alias("label"))
     models = classify.fit_voting(train)
-    return classify.vote(documents(spark, sf_dir), models)
+    return classify.vote(documents(spark, sf_dir), models, 0.61)
 
 
 # ---------------------------------------------------------------- sentence boundaries
@@ -636,3 +644,176 @@ def stream_index(spark, sf_dir):
     docs = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parque[t]")
     jobs.index_stream(docs, f"{path}/index", f"{path}/checkpoint").awaitTermination()
     return jobs.read_stream_index(spark, f"{path}/index")
+
+
+# ---------------------------------------------------------------- stored index, sinks and what readers make of them
+_STORED = ("the", "der", "le", "zzzunknown")
+
+
+@query(f"with {_POSTS} select term, doc_id from posts where term in {_STORED}")
+def index_lookup(spark, sf_dir):
+    """The index written to the shared folder, and a few of its terms read back through the pushed-down filter."""
+    path = shared_folder(spark, "index")
+    index.write_index(index.posting_lists(index.postings(documents(spark, sf_dir))), path)
+    return index.read_terms(spark, path, list(_STORED))
+
+
+_REPORT = "(der | the) & !das"
+
+
+@query(f"with documents as (select page_id as doc_id, url, html as text from pages), f as (select distinct doc_id, url from documents where {boolean_sql(_REPORT)}) select '{_REPORT}' as query, (select count(*) from (select distinct doc_id from f))::bigint as n_found, doc_id, url from f")
+def search_report(spark, sf_dir):
+    """What a user gets: the query, how many documents it finds, and their URLs in ascending order."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("text"))
+    found = boolean.search(index.postings(pages), pages, _REPORT)
+    return boolean.with_urls(found, pages).select(F.lit(_REPORT).alias("query"), F.lit(found.count()).cast("long").alias("n_found"), "doc_id", "url")
+
+
+@query("select page_id as id, contains(url, '?')::int as mark, url, md5(html) as digest from pages where url is not null and html is not null")
+def labelled_pages_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "labelled-pages")
+    pages = table(spark, sf_dir, "pages").where("url is not null and html is not null")
+    pages.select(F.col("page_id").alias("id"), F.contains("url", F.lit("?")).cast("int").alias("mark"), "url", F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"[\r\n]", "").alias("html")).write.csv(path, sep="\t", header=True, quote="")
+    return sources.read_labelled_pages(spark, path).select("id", "mark", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, md5(text) as digest from documents")
+def jsonl_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "jsonl")
+    documents(spark, sf_dir).write.json(path)
+    return sources.read_jsonl(spark, path, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select trim(url) as url, count(*)::bigint as n from pages where url is not null and trim(url) <> '' group by 1")
+def url_list_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "urls")
+    table(spark, sf_dir, "pages").where("url is not null").select("url").write.text(path)
+    return sources.read_urls(spark, path, seed=1).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_FEATURES} select feature, count(*)::bigint as cnt from f group by feature having count(*) >= 10")
+def feature_file_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "features")
+    sources.write_features(urls.feature_counts(table(spark, sf_dir, "pages")), path, least=10)
+    return sources.read_features(spark, path)
+
+
+@query(f"with {_LAB}, {_NB}, {_SCORES} select doc_id as \"Id\", coalesce((score > -0.775)::int, 0) as \"Prediction\" from sc")
+def submission_round_trip(spark, sf_dir):
+    path = shared_folder(spark, "submission")
+    sources.write_submission(_scored(spark, sf_dir), path, -0.775)
+    return spark.read.csv(path, header=True, schema="Id long, Prediction int")
+
+
+@query(f"with {_SHINGLES}, {_SIG}, {_CLASSES}, {_PAIRS} select 'doc/' || id1 as url1, 'doc/' || id2 as url2, n_same / 20 as measure from pairs")
+def duplicate_report(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return sources.duplicate_lines(dedup.near_duplicate_pairs(docs), docs.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url")))
+
+
+@query("select url, coalesce(length(html), 0)::int as body_length, coalesce(length(url), 0)::int as text_length from pages")
+def document_lengths(spark, sf_dir):
+    return sources.lengths(table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"), F.col("url").alias("text")))
+
+
+# ---------------------------------------------------------------- mining, splits, sweeps
+_DRAWN = """u as (select lower(url) as url from ((select url from pages where contains(url, '?') order by md5('0:' || url), url limit 1000) union all (select url from pages where not contains(url, '?') order by md5('1:' || url), url limit 1000)))"""
+_MINED = _FEATURES.replace(_U, _DRAWN, 1)
+
+
+def _mined(spark, sf_dir, least: int) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").where("url is not null").select("url")
+    has = F.contains("url", F.lit("?"))
+    return urls.mine_features(pages.where(has), pages.where(~has), least=least)
+
+
+@query(f"with {_MINED} select feature, count(*)::bigint as cnt from f group by feature having count(*) >= 20")
+def url_feature_mining(spark, sf_dir):
+    return _mined(spark, sf_dir, 20)
+
+
+@query(f"with {_MINED}, found as (select feature from f group by feature having count(*) >= 20), golden as (select feature from f group by feature having count(*) >= 10) select (select count(*) from golden where feature in (select feature from found))::bigint as n_hit, (select count(*) from golden)::bigint as n, round((select count(*) from golden where feature in (select feature from found)) / (select count(*) from golden), 6) as recall")
+def url_golden_recall(spark, sf_dir):
+    """Features of 20 URLs or more against those of 10 or more."""
+    r = urls.golden_recall(_mined(spark, sf_dir, 20), _mined(spark, sf_dir, 10).select("feature"))
+    return r.withColumn("recall", F.round("recall", 6))
+
+
+@query(f"select doc_id, {_RANDOM} < 0.33 as is_test from documents")
+def hash_split(spark, sf_dir):
+    return classify.hash_split(documents(spark, sf_dir))
+
+
+_WIDE_CUTS = classify.steps(0.0, 3000.0, 100.0)
+
+
+@query(f"with {_LAB}, sc as (select doc_id, is_class, len({A.format('text')})::double as score from lab where text is not null), {_sweep(_WIDE_CUTS)} select round(threshold, 6) as threshold, tp, fp, fn, tn, round((f1 + not_f1) / 2, 6) as macro_f1 from f")
+def word_count_sweep(spark, sf_dir):
+    docs = labelled(spark, sf_dir).where("text is not null")
+    scored = classify.word_count_rule(docs).join(docs.select("doc_id", "is_class"), "doc_id")
+    return classify.threshold_sweep(scored, _WIDE_CUTS).select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+# ---------------------------------------------------------------- codes of sentence candidates
+def _joined(c) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+_HOTS = ", ".join(f"array_to_string(list_transform({list(sbd.ABBREVIATIONS[name])}, lambda x: coalesce(((case when pos >= {n} and pos + 1 < size then {_cut(-n, 2)} end) = x)::int, 0)), ',') as abbr_{name}" for name, n in (("one", 2), ("two", 3), ("three", 4), ("four", 5)))
+
+
+@query(f"with {_CH} select doc_id, pos::int as pos, {_HOTS}, array_to_string(list_transform({list(sbd.MARKS)}, lambda x: (c[pos + 1] = x)::int), ',') as mark_hot from cand")
+def sbd_hots(spark, sf_dir):
+    """One-hot codes of abbreviations and marks."""
+    rows = sbd.mark_hot(sbd.abbreviation_hots(_cands(spark, sf_dir)))
+    return rows.select("doc_id", "pos", *[_joined(c).alias(c) for c in (*(f"abbr_{n}" for n in sbd.ABBREVIATIONS), "mark_hot")])
+
+
+def _codes_sql(low: int, high: int) -> str:
+    return f"(case when pos + {low} < 0 then list_transform(range({high - low}), lambda k: 0) else list_transform(range({low}, {high}), lambda k: coalesce(unicode(c[pos + k + 1]), 0)) end)"
+
+
+@query(f"with {_CH} select doc_id, pos::int as pos, array_to_string({_codes_sql(-5, 2)}, ',') as narrow, array_to_string({_codes_sql(-4, 6)}, ',') as wide from cand")
+def sbd_windows(spark, sf_dir):
+    return _cands(spark, sf_dir).select("doc_id", "pos", _joined(sbd.window_codes(-5, 2)).alias("narrow"), _joined(sbd.window_codes(-4, 6)).alias("wide"))
+
+
+@query(f"""with {_CH}, cw as (select doc_id, pos, c[pos + 1] as mark, {_codes_sql(-5, 2)} as codes from cand), fit as (select list_sort(list(distinct mark)) as marks from cw where doc_id % 2 = 0), fit2 as (select list_sort(list(distinct x)) as codes from (select unnest(codes) as x from cw where doc_id % 2 = 0))
+select doc_id, pos::int as pos, coalesce(list_position(fit.marks, mark), 0)::int as mark_place, array_to_string(list_transform(cw.codes, lambda x: coalesce(list_position(fit2.codes, x), 0)), ',') as code_places from cw, fit, fit2""")
+def sbd_fitted_codes(spark, sf_dir):
+    """Encoders fitted on documents with even ids and applied to all: where the 1 of each one-hot code stands, 0 for what was not seen."""
+    rows = _cands(spark, sf_dir).select("doc_id", "pos", "mark", sbd.window_codes(-5, 2).alias("codes"))
+    seen = rows.where("doc_id % 2 = 0")
+    marks, codes = sbd.fit_classes(seen, "mark"), sbd.fit_classes(seen.select(F.explode("codes").alias("code")), "code")
+    return rows.select("doc_id", "pos", sbd.class_place(F.col("mark"), marks).alias("mark_place"), _joined(F.transform("codes", lambda x: sbd.class_place(x, codes))).alias("code_places"))
+
+
+# ---------------------------------------------------------------- the walk to its end
+_STEPS = 60
+_LONG_WALK = _WALK.split(", p1 as")[0] + f", walk as (select doc_id, k, p, 0 as r from p0 union all select al.doc_id, al.j as k, sum(walk.p / deg) as p, walk.r + 1 as r from walk join al on walk.doc_id = al.doc_id and walk.k = al.i join deg on deg.doc_id = al.doc_id and deg.i = al.i where walk.r < {_STEPS} group by al.doc_id, al.j, walk.r)"
+
+
+@query(f"with recursive {_GRAPH}, {_LONG_WALK} select doc_id, k as sent, round(p, 6) as score from walk where r = {_STEPS}")
+def lexrank_long(spark, sf_dir):
+    """So many steps that the walk has settled."""
+    return rank.lexrank(documents(spark, sf_dir), rounds=_STEPS, eps=0.0).withColumn("score", F.round("score", 6))
+
+
+@query()
+def lexrank_converged(spark, sf_dir):
+    """Scores at convergence, as the operator gives them."""
+    return rank.lexrank(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def _page_histogram(value: str, width: float, low: float, high: float):
+    def run(spark, sf_dir):
+        """Pages with a query string are the class."""
+        pages = classify.page_features(table(spark, sf_dir, "pages").where("url is not null"), "html", "url")
+        rows = pages.select(F.contains("url", F.lit("?")).alias("is_class"), value)
+        return classify.histogram(rows, F.col(value), width, low, high)
+
+    return run
+
+
+for _name, _args in {"hist_title_words": ("title_words_num", 1, 0, 30), "hist_anchor_words": ("anchor_words_num", 10, 0, 300), "hist_ratio": ("compression_level", 0.01, 0, 1)}.items():
+    query(name=_name)(_page_histogram(*_args))
