@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,18 +68,40 @@ def build_message(url: str, body: str | None = None, text: str | None = None) ->
     return bytes(out)
 
 
+def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes, part by part; gzip is told by its first bytes, and may have several members."""
+    packed = data[:2] == b"\x1f\x8b"
+    unzip = zlib.decompressobj(31)
+    for lo in range(0, len(data), step):
+        part = data[lo : lo + step]
+        while packed and part:
+            yield unzip.decompress(part)
+            part = unzip.unused_data
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+        if not packed:
+            yield part
+    if packed:
+        yield unzip.flush()
+
+
 def frames(data: bytes) -> Iterator[memoryview]:
-    """Messages of one file: a 4-byte little-endian length before each; gzip is told by its first bytes."""
-    view = memoryview(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    at = 0
-    while at < len(view):
-        if at + 4 > len(view):
-            raise ValueError("truncated frame")
-        (size,) = struct.unpack_from("<i", view, at)
-        if size < 0 or at + 4 + size > len(view):
-            raise ValueError("truncated frame")
-        yield view[at + 4 : at + 4 + size]
-        at += 4 + size
+    """Messages of one file: a 4-byte little-endian length before each. Only one message and the part around it are held unzipped."""
+    held = bytearray()
+    for part in _inflated(data):
+        held += part
+        at = 0
+        while at + 4 <= len(held):
+            (size,) = struct.unpack_from("<i", held, at)
+            if size < 0:
+                raise ValueError("truncated frame")
+            if at + 4 + size > len(held):
+                break
+            yield memoryview(bytes(held[at + 4 : at + 4 + size]))
+            at += 4 + size
+        del held[:at]
+    if held:
+        raise ValueError("truncated frame")
 
 
 def frame(messages: list[bytes], compress: bool = False) -> bytes:
