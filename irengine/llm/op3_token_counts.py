@@ -8,8 +8,9 @@ A pre-token is a run of spaces with the text up to the next space. No piece of
 the vocabulary holds the space mark after another character, so no merge
 crosses that border and the counts of pre-tokens add up to the library's count.
 
-Null or empty text: 0 bytes, 0 tokens. Very long texts are walked whole.
-Repeated rows are counted independently; other columns are ignored.
+Null or empty text: 0 bytes, 0 tokens. Very long texts are walked whole. Repeated rows are
+counted independently, each its own; of merges with equal scores the library takes the left one, so ties can't differ.
+Other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
