@@ -14,7 +14,6 @@ from irengine.functions.html import page_texts, zlib_size
 from irengine.operators.scan import running_total
 
 #: Rows of a word model that may be broadcast (some 50 bytes each); beyond, the join shuffles.
-BROADCAST_WORDS = 400_000
 
 
 # ---------------------------------------------------------------- naive Bayes
@@ -28,11 +27,11 @@ def nb_model(docs: DataFrame, label: str = "is_class", words: Column | None = No
 def nb_scores(docs: DataFrame, model: DataFrame, words: Column | None = None) -> DataFrame:
     """(doc_id, score): mean log-odds of the known words of a document; null if it has none.
 
-    A word counts once for each occurrence and is known if the positive class has it.
+    A word counts once for each occurrence and is known if the positive class has it. How the model is joined is left to
+    adaptive execution, which knows its size without running it first, and splits common words if it is not broadcast.
     """
     w = tx.alnum_words(F.col("text")) if words is None else words
     odds = model.where("c_pos > 0").select("word", F.ln(F.col("c_pos") / (F.col("c_neg") + 1)).alias("odds"))
-    odds = F.broadcast(odds) if odds.count() <= BROADCAST_WORDS else odds
     found = docs.select("doc_id", F.explode(w).alias("word")).join(odds, "word").groupBy("doc_id").agg(F.avg("odds").alias("score"))
     return docs.select("doc_id").join(found, "doc_id", "left")
 

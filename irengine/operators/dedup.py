@@ -53,6 +53,34 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur3_many(items: list[bytes]) -> np.ndarray:
+    """:func:`murmur3_32` of many byte strings, one 4-byte block of all of them at a time."""
+    size = np.array([len(x) for x in items], np.int64)
+    if not len(size):
+        return np.zeros(0, np.int64)
+    width = int(size.max()) // 4 * 4 + 4
+    blocks = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in items), "<u4").reshape(len(items), -1)
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+    def scramble(k: np.ndarray) -> np.ndarray:
+        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(items), np.uint32)
+        for j in range(width // 4):
+            # a whole block turns the state, the last bytes (zeros after them) only enter it
+            entered = h ^ scramble(blocks[:, j])
+            rest = size - 4 * j
+            h = np.where(rest >= 4, turned(entered, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where(rest > 0, entered, h))
+        h ^= size.astype(np.uint32)
+        for shift, mul in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(mul)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64)
+
+
 def hashed_shingles(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
     """(doc_id, hs): hashes of a document's shingles in order. ``md5`` stays inside the JVM, ``mmh3`` takes one Arrow pass."""
     cut = docs.select("doc_id", shingles(F.col("text")).alias("s"))
@@ -61,7 +89,7 @@ def hashed_shingles(docs: DataFrame, hash_fn: str = "md5") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hs = [None if s is None else [murmur3_32(x.encode()) for x in s] for s in batch.column("s").to_pylist()]
+            hs = [None if s is None else murmur3_many([x.encode() for x in s]) for s in batch.column("s").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hs, pa.list_(pa.int64()))], ["doc_id", "hs"])
 
     return cut.mapInArrow(run, "doc_id long, hs array<long>")

@@ -33,6 +33,8 @@ def test_running_total_empty(spark):
 def test_murmur():
     assert dedup.murmur3_32(b"foo") == -156908512
     assert dedup.murmur3_32(b"") == 0
+    items = [bytes(range(n)) for n in range(40)] + [b"\xff" * 9, b"foo"]
+    assert dedup.murmur3_many(items).tolist() == [dedup.murmur3_32(x) for x in items] and dedup.murmur3_many([]).tolist() == []
 
 
 def test_shingles_need_six_words(spark):
