@@ -16,6 +16,18 @@ def bounds(df: DataFrame, order: str, pieces: int = PIECES) -> list:
     return sorted(set(cuts or []))
 
 
+def piece_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts lie below the value, by halving; 0 for a null."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(cuts[middle]), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(cuts))
+
+
 def running_total(df: DataFrame, order: str, values: dict[str, Column], keys: tuple[str, ...] = (), pieces: int = PIECES) -> DataFrame:
     """``df`` with, for each name in ``values``, the sum over all earlier rows (by ``order``, within ``keys``).
 
@@ -24,8 +36,7 @@ def running_total(df: DataFrame, order: str, values: dict[str, Column], keys: tu
     their piece, so that a hot key or an empty key list is shared by many tasks.
     """
     cuts = bounds(df, order, pieces)
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = df.withColumn("__piece", piece)
+    dealt = df.withColumn("__piece", piece_of(F.col(order), cuts))
     totals = dealt.groupBy(*keys, "__piece").agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys, "__piece", *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in values])
