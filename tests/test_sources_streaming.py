@@ -4,7 +4,7 @@ import gzip
 import pytest
 
 from irengine.sources import documents as d
-from irengine.sources.tables import read_table, spread
+from irengine.sources.tables import read_table, shared_root, spread
 from irengine.streaming import jobs
 
 
@@ -97,3 +97,33 @@ def test_tables_beyond_the_bound_are_never_shuffled(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "one.parquet"))
     assert "Repartition" in spread(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in spread(df, most=100)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("members", [1, 3])
+def test_frames_are_a_stream(members):
+    """Plain and zipped files, also of several zipped members, give the messages one after another; a cut one is an error."""
+    messages = [d.build_message(f"u{i}", "b" * i, "t") for i in range(900)]
+    assert [bytes(m) for m in d.frames(d.frame(messages))] == messages
+    parts = [d.frame(messages[k::members]) for k in range(members)]
+    packed = b"".join(map(gzip.compress, parts))
+    assert [bytes(m) for m in d.frames(packed)] == [m for k in range(members) for m in messages[k::members]]
+    for bad in (d.frame(messages)[:-1], packed[:-40], b"\x01\x00", b"\xff\xff\xff\xff"):
+        with pytest.raises(ValueError):
+            list(d.frames(bad))
+    assert list(d.frames(b"")) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_root(Session)
+    Session.sparkContext.master = "local[2]"
+    assert shared_root(Session) == shared_root(Session) and shared_root(Session).startswith("file://")
+    Session.conf.get = staticmethod(lambda key, default=None: "hdfs://x/y/")
+    assert shared_root(Session) == "hdfs://x/y"
