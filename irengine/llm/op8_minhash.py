@@ -1,10 +1,10 @@
 """Operator 8, near-duplicates: b-bit MinHash with confirmation on full shingle sets.
 
 1. One Arrow pass computes, from the set of distinct 5-word shingles of each
-   text: its size, a 128-bit key of the set, the low 8 bits of each of 252 minima
+   text: its size, a 128-bit key of the set, the low 8 bits of each of HASHES minima
    packed into one signature, and band keys of several minima each. The bands follow
    from the threshold (:func:`banding`): at 0.85 they are 36 of 7 minima, and a pair of that
-   similarity shares none with probability 9e-7; at 0.80 they are 50 of 5, with 2e-9.
+   similarity shares none with probability 9e-7; at 0.80 they are 46 of 6, with 9e-7.
 2. Documents with one key have equal sets: they are one class, represented by
    the smallest doc_id. All later steps see representatives only.
 3. A band bucket links each member to its smallest member (never all pairs);
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from irengine.llm.common import as_ids, byte_view, chunks, lean, LOWER, materialise, mix, per_doc, shingles, space_words, span_hashes, U64
 from irengine.llm.components import connected_components
 
-HASHES = 252
+HASHES = 276
 MISS = 1e-6  # a pair at the threshold shares no band with this probability at most
 BITS = 8
 BLOCK = 512  # members of a candidate group in one block,
@@ -69,7 +69,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """The 252 minima of a set under as many hash functions."""
+    """The HASHES minima of a set under as many hash functions."""
     x = (s ^ (s >> U64(32))).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
@@ -80,12 +80,12 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(bands, rows): the longest bands of HASHES minima that keep to MISS for a pair at the threshold."""
+    """(bands, rows): the longest bands of HASHES minima that keep to MISS for a pair at the threshold, and as few of them as do."""
     t = percent / 100
     for rows in range(HASHES, 0, -1):
-        bands = HASHES // rows
-        if (1 - t**rows) ** bands <= MISS:
-            return bands, rows
+        for bands in range(1, HASHES // rows + 1):
+            if (1 - t**rows) ** bands <= MISS:
+                return bands, rows
     raise ValueError(f"{HASHES} minima are too few for a similarity of {t}")
 
 
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     # classes of equal sets; the smallest id stands for each
     reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     reps = materialise(reps, "minhash-reps")
-    rows = reps.select("rep", F.explode("bands").alias("band"))
+    # dealt by band once, for the smallest members and for the links to them
+    rows = reps.select("rep", F.explode("bands").alias("band")).repartition("band")
     low = rows.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     links = rows.join(low, "band").where("rep <> a").select("a", F.col("rep").alias("b"))
     groups = materialise(connected_components(links), "minhash-groups")  # node, component
@@ -261,7 +262,10 @@ def keep(docs: DataFrame, percent: int = 85) -> DataFrame:
     row = "row"
     while row in docs.columns:
         row += "_"
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # rows of a plain scan have the same numbers whenever they are read; those of any other plan are written once
+    if docs._jdf.queryExecution().optimizedPlan().nodeName() != "LogicalRelation":
+        numbered = materialise(numbered, "minhash-rows")
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
     first = numbered.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row)
