@@ -10,8 +10,8 @@
 3. A band bucket links each member to its smallest member (never all pairs);
    the components of these links are candidate groups: every pair that shares
    a band lies in one group.
-4. A group's members are dealt into blocks of about BLOCK rows and BLOCK_SHINGLES shingles by a hash; a few
-   members, the leaders, are guests in every block of their group. In a block,
+4. A group's members are dealt into blocks of about BLOCK rows, BLOCK_SHINGLES shingles and BLOCK_BYTES bytes of
+   text by a hash; a few members, the leaders, are guests in every block of their group. In a block,
    signatures give collision-corrected similarities by counting equal packed bytes; pairs
    that could reach the threshold (4.5 standard errors of slack) and are not yet
    connected are confirmed on the full sets. Only a spanning forest of the confirmed
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irengine.llm.common import as_ids, byte_view, chunks, lean, LOWER, materialise, mix, per_doc, shingles, space_words, span_hashes, U64
@@ -44,9 +44,10 @@ HASHES = 276
 MISS = 1e-6  # a pair at the threshold shares no band with this probability at most
 BITS = 8
 BLOCK = 512  # members of a candidate group in one block,
-BLOCK_SHINGLES = 4 << 20  # and shingles of theirs, so that long texts make small blocks
-LEADERS = 8  # members of a group that every block of it sees
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
+BLOCK_SHINGLES = 4 << 20  # and shingles of theirs, so that long texts make small blocks,
+BLOCK_BYTES = 32 << 20  # and bytes of their texts, as few shingles may stand in a long text: words of any length, repeated lines
+LEADERS = 8  # members of a group that every block of it sees; fewer where they would fill more than half a block
+SKETCH = "doc_id long, n_shingles long, n_bytes long, set_key binary, bands array<long>, signature binary"
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -120,8 +121,8 @@ def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
                     keys.append(k1[i].to_bytes(8, "big") + k2[i].to_bytes(8, "big") + len(s).to_bytes(5, "big") if len(s) else None)
                     bands.append(b[i] if len(s) else None)
                     sigs.append(m[i].astype(np.uint8).tobytes() if len(s) else None)
-            arrays = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands", "signature"])
+            arrays = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "n_bytes", "set_key", "bands", "signature"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -185,12 +186,18 @@ def confirmed(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.select(*keys, "doc_id", "signature", "text", "known", "side").groupBy(*keys).applyInArrow(compare, "a long, b long")
 
 
+def _share() -> Column:
+    """Of a block that a text fills by its shingles or bytes."""
+    return F.greatest(F.col("n_shingles") / BLOCK_SHINGLES, F.col("n_bytes") / BLOCK_BYTES)
+
+
 def _in_blocks(groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Step 4: (links, nodes of groups with several blocks) from (node, component)."""
     leaders = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(LEADERS)]
-    weighed = groups.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = weighed.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.array(*leaders).alias("leaders"))
-    sizes = sizes.withColumn("k", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(LEADERS)), 0.5 / F.max("share"))).cast("int")
+    weighed = groups.join(reps.select(F.col("rep").alias("node"), _share().alias("share")), "node")
+    sizes = weighed.groupBy("component").agg(F.count("*").alias("n"), F.sum("share").alias("shares"), F.slice(F.array(*leaders), F.lit(1), room).alias("leaders"))
+    sizes = sizes.withColumn("k", F.ceil(F.greatest(F.col("n") / block, "shares")).cast("int"))
     dealt = groups.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
     x = F.when(F.array_contains("leaders", F.col("node")), every).otherwise(F.array("mine"))
@@ -204,8 +211,8 @@ def _across_blocks(links: DataFrame, large: DataFrame, reps: DataFrame, texts: D
     """Step 5: links between members of a band bucket that ``links`` leaves in different components."""
     known = connected_components(links).withColumnRenamed("component", "known")
     members = materialise(large.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known")), "minhash-known")
-    own = reps.select(F.col("rep").alias("node"), "bands", "signature", "n_shingles")
-    weight = F.greatest(F.lit(1.0), F.col("n_shingles") * block / BLOCK_SHINGLES)  # of a text, so that ``block`` of them fill a block
+    own = reps.select(F.col("rep").alias("node"), "bands", "signature", _share().alias("share"))
+    weight = F.greatest(F.lit(1.0), F.col("share") * block)  # of a text, so that ``block`` of them fill a block
     rows = members.join(own.drop("signature"), "node").select("node", "known", weight.alias("weight"), F.explode("bands").alias("band"))
     parts = rows.groupBy("band", "known").agg(F.sum("weight").alias("n"))
     buckets = parts.groupBy("band").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
@@ -214,7 +221,7 @@ def _across_blocks(links: DataFrame, large: DataFrame, reps: DataFrame, texts: D
     met = rows.join(buckets, "band").withColumn("inside", F.col("known") == F.col("main"))
     # blocks 0 .. few - 1 hold the members outside of the largest component, the next ones those inside
     number = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few"))).cast("int") + F.when(F.col("inside"), F.col("few")).otherwise(0)
-    met = met.withColumn("side", number).join(own.drop("bands", "n_shingles"), "node")
+    met = met.withColumn("side", number).join(own.drop("bands", "share"), "node")
     last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     pairs = F.transform(F.sequence(F.lit(0), last), lambda y: F.struct(F.least("side", y).alias("x"), F.greatest("side", y).alias("y")))
     met = materialise(met.select(F.col("node").alias("doc_id"), "band", "known", "side", "signature", pairs.alias("pairs")), "minhash-open")
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     docs = as_ids(docs)
     sk = materialise(sketches(docs, percent), "minhash")
     # classes of equal sets; the smallest id stands for each
-    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    reps = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min_by("n_bytes", "doc_id").alias("n_bytes"), F.count("*").alias("n"))
     reps = materialise(reps, "minhash-reps")
     # dealt by band once, for the smallest members and for the links to them
     rows = reps.select("rep", F.explode("bands").alias("band")).repartition("band")

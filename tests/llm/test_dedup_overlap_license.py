@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from irengine.llm import components, op2_decontamination, op8_minhash, op10_license, queries
 
 from .helpers import ODD, frame, near_components, overlap_pairs, shingle_set, words
@@ -145,6 +147,23 @@ def test_lower_threshold(spark, copies, block):
     assert {r.doc_id: r.component_id for r in got} == near_components(copies, 80) != near_components(copies)
 
 
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Near copies of few, very long words: no task gets more of their text than a few blocks' worth, and all are found."""
+    word = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.repeat(F.concat(F.lit("w"), i.cast("string"), F.when(i == F.col("id"), F.lit("x")).otherwise(F.lit("y"))), 8000))
+    docs = spark.range(40).repartition(20).select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    seen, confirmed = [], op8_minhash.confirmed
+
+    def watched(rows, keys, percent):
+        seen.append(rows.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return confirmed(rows, keys, percent)
+
+    monkeypatch.setattr(op8_minhash, "confirmed", watched)
+    got = op8_minhash.near_duplicates(docs, 80).collect()
+    assert size > 150e6 and 0 < max(seen) < 100e6
+    assert {(r.doc_id, r.component_id, r.n_shingles) for r in got} == {(i, 0, 116) for i in range(40)}
+
+
 def test_bands_follow_the_threshold():
     assert op8_minhash.banding(85) == (36, 7)
     for percent in range(50, 100):
