@@ -1,12 +1,19 @@
 """Sentence boundaries: candidates, labels, features, rules, and boosted trees.
 
-A paragraph is turned into its characters once; candidates carry a short window
+One Arrow pass over the code points of whole batches finds the candidates; they carry a short window
 around them (``w``, the mark at W_MARK), so that features never touch the text again.
 Positions are 0-based. Characters outside the text are null in the window.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -28,31 +35,104 @@ _BEFORE, _AFTER = 5, 6
 W_MARK = _BEFORE
 
 
-def candidates(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
+CHUNK_BYTES = 1 << 20  # of text in one step of a pass (or one longer text)
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def _chunks(col: pa.Array) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(first row, text, offsets): runs of rows of a string column without nulls as one text, with the offsets of the rows in it."""
+    first = np.append(0, np.cumsum(pc.binary_length(col).to_numpy()))
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK_BYTES, "right")) - 1)
+        texts = col.slice(lo, hi - lo)
+        yield lo, "".join(texts.to_pylist()), np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy())).astype(np.int64)
+        lo = hi
+
+
+def candidates(docs: DataFrame, text: str = "text", reach: int | None = None, sentences: str | None = None) -> DataFrame:
     """(doc_id, pos, mark, w, size, letter): every mark with its window, the paragraph's length, and the first letter after it.
 
     With ``reach`` also ``snippet``: so many characters on each side of the mark, as far as the text goes.
+    With ``sentences`` also ``label``: 1 where the first occurrence of one of the row's own gold sentences ends.
     """
-    chars, letters = F.col("chars"), F.col("letters")
-    tails = F.regexp_extract_all(F.col(text), F.lit(_MARK_CLASS + r'[^\.!?"»…]*'), F.lit(0))
-    cut = docs.where(F.col(text) != "").select("doc_id", F.split(F.col(text), "", -1).alias("chars"), F.transform(tails, lambda t: F.regexp_extract(t, r"\p{L}", 0)).alias("letters"))
-    places = cut.select("*", F.filter(F.transform(chars, lambda c, i: F.when(c.isin(*MARKS), i)), lambda i: i.isNotNull()).alias("at"))
-
-    def row(i: Column, k: Column) -> Column:
-        window = F.transform(F.sequence(i - _BEFORE, i + _AFTER), lambda j: F.when(j >= 0, F.get(chars, j)))
-        # nearly always the text up to the next mark has a letter; else look further
-        letter = F.when(F.get(letters, k) != "", F.get(letters, k)).otherwise(F.get(F.filter(letters, lambda x, n: (n > k) & (x != "")), F.lit(0)))
-        low = F.greatest(i - (reach or 0), F.lit(0))
-        snippet = [F.array_join(F.slice(chars, low + 1, i + (reach or 0) + 1 - low), "").alias("snippet")] if reach is not None else []
-        return F.struct(i.alias("pos"), F.get(chars, i).alias("mark"), window.alias("w"), F.size(chars).alias("size"), letter.alias("letter"), *snippet)
-
-    return places.select("doc_id", F.explode(F.transform("at", row)).alias("c")).select("doc_id", "c.*")
+    marks = np.array([ord(m) for m in MARKS], np.uint32)
+    span = np.arange(-_BEFORE, _AFTER + 1)
+
+    def cut(ids: pa.Array, whole: str, off: np.ndarray, gold: pa.Array | None) -> pa.RecordBatch:
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        at = np.flatnonzero(np.isin(codes, marks))
+        doc = np.searchsorted(off, at, "right") - 1
+        places = at[:, None] + span
+        inside = (places >= off[doc, None]) & (places < off[doc + 1, None])
+        w = codes[np.clip(places, 0, len(codes) - 1)]
+        letters = np.append(np.flatnonzero(_letters()[codes]), len(codes))
+        after = letters[np.searchsorted(letters, at)]
+        has_letter = after < off[doc + 1]
+        after = codes[np.minimum(after, len(codes) - 1)]
+        known = np.flatnonzero(np.bincount(np.concatenate([w.reshape(-1), after])))
+        alphabet, number = pa.array([chr(c) for c in known], pa.string()), np.zeros(int(known.max(initial=0)) + 1, np.int32)
+        number[known] = np.arange(len(known))
+        chars = alphabet.take(pa.array(number[w.reshape(-1)], mask=~inside.reshape(-1)))
+        out = {
+            "doc_id": ids.take(pa.array(doc)), "pos": pa.array(at - off[doc], pa.int32()), "mark": alphabet.take(pa.array(number[codes[at]])),
+            "w": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(span), pa.int32()), chars), "size": pa.array(np.diff(off)[doc], pa.int32()), "letter": alphabet.take(pa.array(number[after], mask=~has_letter)),
+        }
+        if reach is not None:
+            bounds = zip(np.maximum(at - reach, off[doc]).tolist(), np.minimum(at + reach + 1, off[doc + 1]).tolist(), strict=True)
+            out["snippet"] = pa.array([whole[x:y] for x, y in bounds], pa.string())
+        if gold is not None:
+            ends = np.zeros(len(codes), bool)
+            for k, found in enumerate(gold.to_pylist()):
+                ends[[int(off[k]) + x for x in _ends(whole[off[k] : off[k + 1]], found)]] = True
+            out["label"] = pa.array(ends[at].astype(np.int32))
+        return pa.RecordBatch.from_pydict(out)
+
+    def run(batches):
+        for batch in batches:
+            for lo, whole, off in _chunks(batch.column("text")):
+                rows = batch.slice(lo, len(off) - 1)
+                yield cut(rows.column("doc_id"), whole, off, rows.column("sentences") if sentences else None)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = ", snippet string" * (reach is not None) + ", label int" * (sentences is not None)
+    columns = ["doc_id", F.col(text).alias("text"), *([F.col(sentences).alias("sentences")] if sentences else [])]
+    return docs.where(F.col(text) != "").select(*columns).mapInArrow(run, f"doc_id {kind}, pos int, mark string, w array<string>, size int, letter string{more}")
+
+
+def _ends(text: str, sentences: list[str | None] | None) -> list[int]:
+    """Places of the last characters of the sentences' first occurrences."""
+    found = [(text.find(s), len(s)) for s in dict.fromkeys(sentences or ()) if s]
+    return [at + n - 1 for at, n in found if at >= 0]
 
 
 def labels_first(docs: DataFrame, sentences: str = "sentences", text: str = "text") -> DataFrame:
     """(doc_id, pos): the end of the first occurrence of each gold sentence."""
-    rows = docs.select("doc_id", text, F.explode(sentences).alias("s")).where("s <> ''")
-    return rows.select("doc_id", (F.expr(f"locate(s, {text})") + F.length("s") - 2).alias("pos"), F.expr(f"locate(s, {text})").alias("__at")).where("__at > 0").select("doc_id", "pos").distinct()
+
+    def run(batches):
+        for batch in batches:
+            ends = [_ends(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("sentences").to_pylist(), strict=True)]
+            doc = np.repeat(np.arange(len(ends)), [len(e) for e in ends])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "pos": pa.array([x for e in ends for x in e], pa.int32())})
+
+    rows = docs.where(F.col(text).isNotNull() & (F.size(sentences) > 0)).select("doc_id", F.col(text).alias("text"), F.col(sentences).alias("sentences"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int").distinct()
+
+
+def labelled_candidates(docs: DataFrame, sentences: str = "sentences", text: str = "text", reach: int | None = None) -> DataFrame:
+    """:func:`candidates` with the ``label`` that :func:`labels_first` gives them.
+
+    Where every document has an id of its own, its text and gold sentences are enough, and candidates are never
+    shuffled; rows that share an id share their labels, and rows without one have none, so there the labels are joined.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return candidates(docs, text, reach, sentences)
+    return label(candidates(docs, text, reach), labels_first(docs, sentences, text))
 
 
 def labels_running(docs: DataFrame, sentences: str = "sentences") -> DataFrame:
@@ -127,7 +207,8 @@ def flags(cands: DataFrame, table: dict | None = None) -> DataFrame:
 
 def one_hot(value: Column, words: tuple[str, ...]) -> Column:
     """array<int>: which of the words the value is; all 0 if none."""
-    return F.transform(F.array(*map(F.lit, words)), lambda x: F.coalesce((value == x).cast("int"), F.lit(0)))
+    codes = F.array(*[F.array(*[F.lit(int(i == k)) for i in range(1, len(words) + 1)]) for k in range(len(words) + 1)])
+    return F.get(codes, F.coalesce(F.array_position(F.array(*map(F.lit, words)), value), F.lit(0)).cast("int"))
 
 
 def fit_classes(rows: DataFrame, value: str, most: int = 10_000) -> list:
@@ -143,6 +224,21 @@ def class_place(value: Column, classes: list) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, classes)), value), F.lit(0)).cast("int")
 
 
+def class_places(values: Column, classes: list) -> Column:
+    """array<int>: :func:`class_place` of every number of an array, for any number of classes in order."""
+    known = np.array(classes, np.int64)
+
+    @F.arrow_udf("array<int>")
+    def run(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().cast(pa.int64()).to_numpy()
+        at = np.searchsorted(known, x)
+        hit = np.append(known, -1)[at] == x
+        first = np.append(0, np.cumsum(pc.list_value_length(batch).to_numpy()))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.where(hit, at + 1, 0), pa.int32()))
+
+    return run(values)
+
+
 def abbreviation_hots(cands: DataFrame) -> DataFrame:
     """Adds an array for each of the four shapes of abbreviations that end at the mark, with the blanks around them.
 
@@ -159,7 +255,7 @@ def mark_hot(cands: DataFrame) -> DataFrame:
 
 def window_codes(low: int = -5, high: int = 2) -> Column:
     """array<int>: code points from ``low`` to before ``high``; missing ones on the right are 0. Empty if the window starts before the text."""
-    codes = F.transform(F.slice("w", W_MARK + low + 1, high - low), lambda c: F.coalesce(F.ascii(c), F.lit(0)))
+    codes = F.array(*[F.coalesce(F.ascii(_at(k)), F.lit(0)) for k in range(low, high)])
     return F.when(F.col("pos") + low < 0, F.array_repeat(F.lit(0), high - low)).otherwise(codes)
 
 
@@ -192,13 +288,15 @@ PATTERNS: dict[str, tuple[str, int, int, int]] = {
 def pattern_flags(cands: DataFrame) -> DataFrame:
     """Adds 0/1 columns from patterns over the window, and ``good_end``, ``eof``, ``tiny`` (paragraph under 10 characters)."""
     last = F.col("pos") + 1 >= F.col("size")
+    windows = {(low, high): f"__cut{low}_{high}" for _, low, high, _ in PATTERNS.values()}
+    # a window that starts before the text is empty; each is cut once, for all of its patterns
+    cands = cands.withColumns({c: F.when(F.col("pos") + low < 0, "").otherwise(_around(low, high)) for (low, high), c in windows.items()})
 
     def hit(p: str, low: int, high: int, at_end: int) -> Column:
-        cut = F.when(F.col("pos") + low < 0, "").otherwise(_around(low, high))  # a window that starts before the text is empty
-        return F.when(last, at_end).otherwise(cut.rlike(p).cast("int"))
+        return F.when(last, at_end).otherwise(F.col(windows[low, high]).rlike(p).cast("int"))
 
     cols = {"good_end": F.col("mark").isin(*GOOD_ENDS).cast("int"), "eof": (F.col("pos") == F.col("size") - 1).cast("int"), "tiny": (F.col("size") < 10).cast("int")}
-    return cands.withColumns(cols | {n: hit(*x) for n, x in PATTERNS.items()})
+    return cands.withColumns(cols | {n: hit(*x) for n, x in PATTERNS.items()}).drop(*windows.values())
 
 
 # ---------------------------------------------------------------- rules
@@ -248,19 +346,33 @@ def errors(judged: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- model
-def feature_vector(cands: DataFrame) -> DataFrame:
-    """Adds the vector ``features``: flags, abbreviations, mark, and window code points."""
+def features(cands: DataFrame) -> DataFrame:
+    """Adds ``codes``, whole numbers: flags, abbreviations, mark, and window code points."""
     rows = mark_hot(abbreviation_hots(flags(cands)))
     parts = [F.array("eof", "good_end", *FLAGS), *(F.col(f"abbr_{n}") for n in ABBREVIATIONS), F.col("mark_hot"), window_codes()]
-    return rows.withColumn("features", array_to_vector(F.concat(*[p.cast("array<double>") for p in parts])))
+    return rows.withColumn("codes", F.concat(*parts))
+
+
+def counted(labelled: DataFrame) -> DataFrame:
+    """(codes, label, n): how many labelled candidates have the same features and label. Texts repeat their contexts, so these are far fewer."""
+    return features(labelled).groupBy("codes", "label").agg(F.count("*").alias("n"))
+
+
+def feature_vector(rows: DataFrame) -> DataFrame:
+    """Adds the vector ``features`` to candidates, or to rows that have ``codes``."""
+    rows = rows if "codes" in rows.columns else features(rows)
+    return rows.withColumn("features", array_to_vector(F.col("codes").cast("array<double>")))
 
 
 def fit(labelled: DataFrame, trees: int = 20, depth: int = 5) -> GBTClassificationModel:
-    """Boosted trees over :func:`feature_vector` of labelled candidates."""
-    rows = feature_vector(labelled).withColumn("label", F.col("label").cast("double"))
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=0).fit(rows.select("features", "label"))
+    """Boosted trees over :func:`feature_vector` of labelled candidates, or of the rows of :func:`counted`, each weighing as much as it stands for."""
+    rows = labelled if "n" in labelled.columns else counted(labelled)
+    rows = feature_vector(rows).select("features", F.col("label").cast("double").alias("label"), F.col("n").cast("double").alias("weight")).persist()
+    try:
+        return GBTClassifier(maxIter=trees, maxDepth=depth, seed=0, weightCol="weight").fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(cands: DataFrame, model: GBTClassificationModel) -> DataFrame:
-    return model.transform(feature_vector(cands)).withColumn("predicted", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction", "features")
-
+    return model.transform(feature_vector(cands)).withColumn("predicted", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction", "features", "codes")
