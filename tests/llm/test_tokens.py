@@ -154,3 +154,21 @@ def test_op9_query(spark, sf_dir, bpe):
     assert got.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
     assert sorted(map(tuple, got.collect())) == _expected(bpe, rows)
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTES and F is not None
+
+
+def test_words_fold_side_by_side(spark):
+    """The relational fold, over the words of whole batches: no step of it is an interpreted lambda, and it agrees with the worker's walk."""
+    rng = random.Random(6)
+    words = {"▁" * rng.randrange(3) + "".join(rng.choice("aeinrst☃") for _ in range(rng.randrange(1, 60))) for _ in range(500)}
+    df = spark.createDataFrame([(w,) for w in words if len(w) <= op1.LONGEST], "word string")
+    folded = op1.encode_words(df, op1.piece_table(spark, PIECES))
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan.replace("Aggregate", "")
+    worker = op1.Lattice(PIECES)
+    for r in folded.collect():
+        flat = [x for c, i in zip(_cuts(worker, r.word), r.ids, strict=True) for x in ([i] if i is not None else [worker.byte[b] for b in c.encode()])]
+        assert flat == worker.encode(r.word)
+
+
+def _cuts(worker, word):
+    return worker.split(word)
